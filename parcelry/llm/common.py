@@ -92,3 +92,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
 def blocks(rows: int, per_block: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_block))
+
+
+def bitmap_split(df: DataFrame, column: str, ids: DataFrame, id_col: str, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `column` may be among the ids, rows whose `column` is not), without a shuffle of df.
+
+    The ids set bits of a bitmap of fixed size, held as at most bits / 64 rows, which is what is broadcast whatever
+    the number of ids. Nulls are one value.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
+    marks = ids.select(slot(id_col).alias("h")).select(F.floor(F.col("h") / 64).cast("long").alias("__w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("m"))
+    words = F.broadcast(cut(marks.groupBy("__w").agg(F.bit_or("m").alias("__m"))))
+    h = df.withColumn("__h", slot(column)).join(words, F.floor(F.col("__h") / 64).cast("long") == F.col("__w"), "left")
+    hit = F.expr("coalesce(__m, 0L) & shiftleft(1L, cast(__h % 64 as int))") != 0
+    return h.filter(hit).select(df.columns), h.filter(~hit).select(df.columns)
