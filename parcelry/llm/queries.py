@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import op2_secrets, op4_kd_shards, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate
+from . import op1_stupid_backoff, op2_secrets, op4_kd_shards, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate
 
 QUERIES = {
+    "op1_stupid_backoff": op1_stupid_backoff.op1_stupid_backoff,
     "op2_entropy_secrets": op2_secrets.op2_entropy_secrets,
     "op4_kd_tree_shards": op4_kd_shards.op4_kd_tree_shards,
-    "op8_fair_queue_mix": op8_fair_mix.op8_fair_queue_mix,
+    "op6_pivot_permutation": op6_pivot_index.op6_pivot_permutation,
     "op7_minhash_bayes": op7_minhash_bayes.op7_minhash_bayes,
+    "op8_fair_queue_mix": op8_fair_mix.op8_fair_queue_mix,
     "op9_license_dice": op9_licenses.op9_license_dice,
     "op10_spaced_seeds": op10_decontaminate.op10_spaced_seeds,
 }
 ORACLES = {
+    "op1_stupid_backoff": op1_stupid_backoff.ORACLE,
     "op8_fair_queue_mix": op8_fair_mix.ORACLE,
     "op9_license_dice": op9_licenses.ORACLE,
 }
