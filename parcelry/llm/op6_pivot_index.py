@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,33 +55,65 @@ def _pack(kind: str):
     return pack
 
 
+def verify_block(key: tuple, nid: np.ndarray, vec: list[bytes], top: np.ndarray, copies: np.ndarray, part: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of one block, rows in ascending nid: its linked nodes, the copies they link with in pairs of this list's own,
+    and the least node of each one's local component."""
+    _, dim, p, q, bx, by = key
+    x = _unit(vec, dim, kind)
+    near = x @ x.T >= COSINE
+    np.fill_diagonal(near, False)
+    if bx != by:
+        near &= part[:, None] != part[None, :]
+    some = near.any(axis=1)
+    if not some.any():
+        return None
+    near, nid, top, copies = near[np.ix_(some, some)], nid[some], top[some], copies[some]
+    label = np.arange(len(nid))
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(nid)).min(axis=1))
+        if (low == label).all():
+            break
+        label = low
+    smaller = np.unique(top[(top < q) & (top != p)])
+    marks = (top[:, :, None] == smaller[None, None, :]).any(axis=1).astype(np.float32)
+    own = near & (marks @ marks.T == 0)
+    return nid, (own * copies[None, :]).sum(axis=1), nid[label]
+
+
 def _verify(kind: str):
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """One block of a list: counts of its own pairs, and the least node of each local component."""
-        *_, p, q, bx, by = key
-        pdf = pdf.sort_values("nid", kind="stable")
-        x = _unit(pdf["vec"].tolist(), int(pdf["dim"].iloc[0]), kind)
-        top, nid, copies, part = np.stack(pdf["top"]), pdf["nid"].to_numpy(), pdf["copies"].to_numpy(), pdf["part"].to_numpy()
-        near = x @ x.T >= COSINE
-        np.fill_diagonal(near, False)
-        if bx != by:
-            near &= part[:, None] != part[None, :]
-        if not near.any():
-            return pd.DataFrame({"nid": nid[:0], "links": nid[:0], "root": nid[:0]})
-        label = np.arange(len(nid))
-        while True:
-            low = np.minimum(label, np.where(near, label[None, :], len(nid)).min(axis=1))
-            if (low == label).all():
-                break
-            label = low
-        smaller = np.unique(top[(top < q) & (top != p)])
-        marks = (top[:, :, None] == smaller[None, None, :]).any(axis=1).astype(np.float32)
-        own = near & (marks @ marks.T == 0)
-        some = near.any(axis=1)
-        return pd.DataFrame({"nid": nid[some], "links": (own * copies[None, :]).sum(axis=1)[some].astype(np.int64), "root": nid[label[some]]})
+    """Rows sorted by block and nid; one block (at most 2 * BLOCK rows or so) is held at a time."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[tuple, list] | None = None
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("label", "dim", "p", "q", "x", "y")), strict=True))
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("nid", "vec", "top", "copies", "part")), strict=True))
+            found, at = [], 0
+            for end in [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]:
+                if held and (end == at or keys[at] != held[0]):
+                    found.append(_done(held, kind))
+                    held = None
+                if end > at:
+                    held = (keys[at], (held[1] if held else []) + rows[at:end])
+                at = end
+            yield _table([f for f in found if f])
+        if held:
+            yield _table([f for f in [_done(held, kind)] if f])
     return verify
 
 
+def _done(held: tuple[tuple, list], kind: str) -> tuple | None:
+    key, rows = held
+    if len(rows) < 2:
+        return None
+    nid, vec, top, copies, part = zip(*rows, strict=True)
+    return verify_block(key, np.array(nid), list(vec), np.array(top), np.array(copies), np.array(part), kind)
+
+
+def _table(found: list[tuple]) -> pa.RecordBatch:
+    each = [np.concatenate([np.asarray(f[c], np.int64) for f in found]) if found else np.zeros(0, np.int64) for c in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in each], ["nid", "links", "root"])
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
@@ -128,7 +159,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     members = lists.join(sizes, keys).withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("n")).cast("int"))
     block = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, "part").alias("x"), F.greatest(i, "part").alias("y"))))
     placed = members.withColumn("b", block).select(*keys, "b.x", "b.y", "nid", "top", "part").join(reps.select("nid", "vec", "copies"), "nid")
-    found = cut(placed.groupBy(*keys, "x", "y").applyInPandas(_verify(kind), "nid long, links long, root long"))
+    dealt = placed.repartition(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y", "nid")
+    found = cut(dealt.select(*keys, "x", "y", "nid", "vec", "top", "copies", "part").mapInArrow(_verify(kind), "nid long, links long, root long"))
     links = found.groupBy("nid").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("nid").alias("a"), F.col("root").alias("b")))
     ids = roots.join(reps.select("nid", "rep_id"), F.col("node") == F.col("nid")).groupBy("root").agg(F.min("rep_id").alias("component_id"))
