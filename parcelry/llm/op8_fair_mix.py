@@ -95,6 +95,18 @@ def cut_time(queued: DataFrame, cap: int, bins: int = 4096) -> float:
         lo, hi = float(first), float(final)
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as the mix takes a part of it.
+
+    Rows that share an id (a null id too) are there as often as the most taken of them.
+    """
+    found = fair_mix(docs, id_col=id_col).filter("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    times = found.groupBy("doc_id").agg(F.max(copies).alias("__copies")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
+    return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
 def op8_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: 150 % of all words, weights 3, 1, 2 repeating, at most 2 times a document."""
     return fair_mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

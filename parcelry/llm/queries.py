@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_stupid_backoff, op2_secrets, op4_kd_shards, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate
+from . import op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff.op1_stupid_backoff,
     "op2_entropy_secrets": op2_secrets.op2_entropy_secrets,
+    "op3_template_chat": op3_chat_format.op3_template_chat,
     "op4_kd_tree_shards": op4_kd_shards.op4_kd_tree_shards,
+    "op5_subsequence_svm": op5_toxicity.op5_subsequence_svm,
     "op6_pivot_permutation": op6_pivot_index.op6_pivot_permutation,
     "op7_minhash_bayes": op7_minhash_bayes.op7_minhash_bayes,
     "op8_fair_queue_mix": op8_fair_mix.op8_fair_queue_mix,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_stupid_backoff": op1_stupid_backoff.ORACLE,
+    "op3_template_chat": op3_chat_format.ORACLE,
     "op8_fair_queue_mix": op8_fair_mix.ORACLE,
     "op9_license_dice": op9_licenses.ORACLE,
 }
