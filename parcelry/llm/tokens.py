@@ -16,7 +16,7 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xD1342543DE82EF95)
+_Q = 0xD1342543DE82EF95
 #: Bytes of text handled at a time; a longer text is handled alone.
 SLICE = 1 << 20
 
@@ -73,6 +73,10 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(np.add.reduceat(values, begins)), np.searchsorted(begins, own)
 
 
+def _power(j: int) -> np.uint64:
+    return np.uint64(pow(_Q, j, 1 << 64))
+
+
 def windows(h: np.ndarray, at: np.ndarray, width: int, picks: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of `width` words inside each row (of the words at `picks` only), and their row offsets."""
     n = np.maximum(np.diff(at) - width + 1, 0)
@@ -80,11 +84,10 @@ def windows(h: np.ndarray, at: np.ndarray, width: int, picks: list[int] | None =
     if not out_at[-1]:
         return np.zeros(0, np.uint64), out_at
     start = np.arange(out_at[-1]) + np.repeat(at[:-1] - out_at[:-1], n)
-    total, power = np.zeros(len(start), np.uint64), np.uint64(1)
+    total = np.zeros(len(start), np.uint64)
     for j in range(width):
         if picks is None or j in picks:
-            total += h[start + j] * power
-        power = power * _Q
+            total += h[start + j] * _power(j)
     return mix(total + np.uint64(width)), out_at
 
 
@@ -96,10 +99,9 @@ def shingle_sets(h: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndar
     for k in range(1, width):
         rows = np.flatnonzero(n == k)
         if len(rows):
-            total, power = np.zeros(len(rows), np.uint64), np.uint64(1)
+            total = np.zeros(len(rows), np.uint64)
             for j in range(k):
-                total += h[at[rows] + j] * power
-                power = power * _Q
+                total += h[at[rows] + j] * _power(j)
             short.update(zip(rows.tolist(), mix(total + np.uint64(1000 + k)), strict=True))
     sets = []
     for i in range(len(n)):
