@@ -33,7 +33,7 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, dim_id: str, value: str, most
 def scorecard(applications: DataFrame, keys: Sequence[str] = ("county_fips", "assessment_year")) -> DataFrame:
     """One row per key from applications with the columns action, lender_id, amount, purchaser, race, ethnicity,
     multifamily (boolean), denial_reason and the keys. Only originated and denied rows count; null counties are
-    their own group. One shuffle, of partial counts.
+    their own group. One shuffle, of partial counts. Amounts are summed as decimals, so their order doesn't matter.
     """
     a = applications.filter(F.col("action").isin(ORIGINATED, DENIED))
     denied, made = F.col("action") == DENIED, F.col("action") == ORIGINATED
@@ -47,7 +47,7 @@ def scorecard(applications: DataFrame, keys: Sequence[str] = ("county_fips", "as
         F.count_if(white).alias("n_white"), F.count_if(white & denied).alias("d_white"),
         F.count_if(made & M.is_gse(F.col("purchaser"))).alias("n_gse"),
         F.nullif(F.count_distinct("lender_id"), F.lit(0)).alias("lender_count"),
-        F.avg(amount).alias("avg_loan_amount"), F.mode(reason, deterministic=True).alias("top_denial_reason"),
+        M.ratio(F.sum(amount.try_cast("decimal(24,4)")), F.count(amount.try_cast("decimal(24,4)"))).alias("avg_loan_amount"), F.mode(reason, deterministic=True).alias("top_denial_reason"),
     )
     rates = g.select(
         "*", M.ratio(F.col("n_gse"), F.col("total_originated")).alias("gse_sold_pct"), M.ratio(F.col("total_denied"), F.col("total_applications")).alias("denial_rate_overall"),
