@@ -64,12 +64,11 @@ def orphans(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
 
 def audit(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """label, n_nodes, n_out, n_in, n_connected, n_orphans, orphan_pct per label."""
-    out = edge_table.groupBy(F.col("src_label").alias("o")).agg(F.count("*").alias("n_out"))
-    into = edge_table.groupBy(F.col("dst_label").alias("i")).agg(F.count("*").alias("n_in"))
-    total = node_table.groupBy("label").agg(F.count("*").alias("n_nodes"))
-    alone = orphans(node_table, edge_table).groupBy(F.col("label").alias("a")).agg(F.count("*").alias("n_orphans"))
-    j = total.join(out, F.col("label") == F.col("o"), "left").join(into, F.col("label") == F.col("i"), "left").join(alone, F.col("label") == F.col("a"), "left").na.fill(0)
-    return j.select("label", "n_nodes", "n_out", "n_in", (F.col("n_nodes") - F.col("n_orphans")).alias("n_connected"), "n_orphans", F.round(F.col("n_orphans") * 100.0 / F.col("n_nodes"), 4).alias("orphan_pct"))
+    zero = F.lit(0).cast("long")
+    one = lambda df, label, at: df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).select("label", *[(F.col("n") if i == at else zero).alias(c) for i, c in enumerate(("n_nodes", "n_out", "n_in", "n_orphans"))])
+    parts = one(node_table, "label", 0).unionByName(one(edge_table, "src_label", 1)).unionByName(one(edge_table, "dst_label", 2)).unionByName(one(orphans(node_table, edge_table), "label", 3))
+    j = parts.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("n_nodes", "n_out", "n_in", "n_orphans")]).filter("n_nodes > 0")
+    return j.select("label", "n_nodes", "n_out", "n_in", (F.col("n_nodes") - F.col("n_orphans")).alias("n_connected"), "n_orphans", F.round(F.col("n_orphans") * 100.0 / F.col("n_nodes"), 4).cast("double").alias("orphan_pct"))
 
 
 def edge_counts(edge_table: DataFrame) -> DataFrame:
