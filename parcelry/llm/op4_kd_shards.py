@@ -63,7 +63,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     as large as shards. Equal texts share a shard unless they weigh over WHOLE_GROUP of one. Null texts count as
     empty, null ids as one id; repeated rows are rows of their own; other columns are ignored. Empty table: empty.
     """
-    points = cut(measured(docs, id_col, text_col))
+    points = cut(measured(docs, id_col, text_col).withColumn("node", F.lit(0).cast("long")))
     span = points.agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if span["w"] is None:
         return points.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"))
@@ -72,7 +72,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     whole = {d: max(span[f"hi_{d}"] - span[f"lo_{d}"], 1e-12) for d in DIMS}
     leaf_goal = span["w"] / n_shards
     leaves = {0: (0, n_shards)}  # node -> first shard, number of shards
-    tree = points.withColumn("node", F.lit(0).cast("long"))
+    tree = points
     while any(k > 1 for _, k in leaves.values()):
         stats = {r["node"]: r for r in tree.groupBy("node").agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).collect() if leaves[r["node"]][1] > 1}
         open_cuts = []

@@ -35,6 +35,7 @@ _TABLE_BITS = 22
 _REMEMBERED = 600_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _OTHER = re.compile(r"[\W\d_]+")
+_RUN = 24
 _SPACED = re.compile(r"(?<!\S)[^\W\d_]\W?(?:\s+[^\W\d_]\W?){2,}(?!\S)")
 
 #: Distances between neighbouring characters of a subsequence, and its weight.
@@ -49,8 +50,12 @@ def word_of(token: str) -> str:
 
 
 def tokens_of(lower: str) -> list[str]:
-    """Tokens of a lower-case text, and its runs of three or more single letters."""
-    return lower.split() + (_SPACED.findall(lower) if _SPACED.search(lower) else [])
+    """Tokens of a lower-case text, and its runs of three or more single letters, from each of their letters on."""
+    out = lower.split()
+    for run in _SPACED.findall(lower):
+        letters = _OTHER.sub("", run)
+        out += [letters[i : i + _RUN] for i in range(len(letters) - 2)]
+    return out
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,6 +238,28 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3,
     return w[:-1], float(w[-1])
 
 
+def platt(margin: np.ndarray, goal: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and shift of the sigmoid that fits smoothed labels best, by Newton steps that are halved until they help."""
+    z = np.stack([margin, np.ones_like(margin)], axis=1)
+
+    def loss(x: np.ndarray) -> float:
+        f = z @ x
+        return float((np.logaddexp(0, f) - goal * f).sum() + 1e-6 * (x @ x))
+
+    x = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ x, -50, 50)))
+        gradient = z.T @ (p - goal) + 2e-6 * x
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), gradient)
+        size, now = 1.0, loss(x)
+        while size > 1e-8 and loss(x - size * step) > now - 1e-12:
+            size /= 2
+        if size <= 1e-8:
+            break
+        x = x - size * step
+    return float(x[0]), float(x[1])
+
+
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
     """Landmarks, machine and calibration from labelled documents. With one class only, scores are its constant."""
     kernel = Kernel(*choose_landmarks(texts, toxic))
@@ -265,15 +292,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
     model = Model(kernel, root, w, bias)
     margin = np.full(len(texts), bias)
     np.maximum.at(margin, owner, score)
-    a, b = 1.0, 0.0  # Platt scaling with smoothed labels
     goal = np.where(toxic == 1, 1 - 1 / (2 + (toxic == 1).sum()), 1 / (2 + (toxic == 0).sum()))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -50, 50)))
-        g = np.array([((p - goal) * margin).sum(), (p - goal).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
+    a, b = platt(margin, goal)
     model.slope, model.shift = a, b
     return model
 

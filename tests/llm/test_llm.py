@@ -1,0 +1,457 @@
+"""Each operator against a brute-force version or an exact property, with nulls, empty and repeated rows, empty
+tables and clashing extra columns."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from parcelry.llm import common, op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate, template, tokens
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, node string, label string, a string"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def frame(spark, rows):
+    """Documents (id, text, source) with extra columns whose names clash with those used inside."""
+    return spark.createDataFrame([(i, t, "en", s, 1, "x", "x", "x", "x", "x") for i, t, s in rows], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}é" if i % 7 == 0 else f"W{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 8, 30, 90]))), f"s{i % 3}"))
+    base = rows[2][1].split() * 2 + [f"tail{i}" for i in range(30)]
+    for j in range(25):  # copies with a growing number of changed words
+        other = list(base)
+        for k in range(j // 2):
+            other[(k * 17 + j) % len(other)] = f"new{j}_{k}"
+        rows.append((100 + j, " ".join(other), "s0"))
+    rows += [(200, None, None), (201, "", "s1"), (202, " \t\n", "s1"), (203, "one", None), (204, "ONE", "s2"), (205, rows[0][1], "s0"), (205, rows[0][1], "s0"), (206, rows[5][1].upper().replace(" ", "\n"), "s1"), (207, "long " * 30_000, "s2"), (None, "no id here at all friends", "s0"), (None, None, "s0")]
+    return rows
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, repr(r)))
+
+
+def test_word_hashes_and_windows():
+    texts = ["A b  c\n", "", None, "é É b", "x" * 5000]
+    data, bounds = tokens.utf8(pa.array(texts, pa.string()))
+    h, at = tokens.word_hashes(data, bounds)
+    assert np.diff(at).tolist() == [3, 0, 0, 3, 1]
+    assert h[1] == h[5] and h[3] != h[4]
+    again, _ = tokens.word_hashes(*tokens.utf8(pa.array(["a B c"], pa.string())))
+    assert again.tolist() == h[:3].tolist()
+    w, w_at = tokens.windows(h, at, 2)
+    assert np.diff(w_at).tolist() == [2, 0, 0, 2, 0]
+    s, s_at = tokens.shingle_sets(h, at, 5)
+    assert np.diff(s_at).tolist() == [1, 0, 0, 1, 1]
+
+
+def test_running_sum_and_components(spark):
+    df = spark.createDataFrame([(k, i % 3, i, 1) for k in ("a", None) for i in range(9)], "k string, b int, o int, v int")
+    out = common.running_sum(df, ["k"], "b", [F.col("o")], "v", "r").orderBy("k", "b", "o").collect()
+    assert [r["r"] for r in out] == list(range(9)) * 2
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(30)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bitmap_split(spark):
+    df = spark.createDataFrame([(i,) for i in range(500)] + [(None,)], "x long")
+    ids = spark.createDataFrame([(3,), (None,), (77,)], "i long")
+    maybe, no = common.bitmap_split(df, "x", ids, "i", bits=1 << 12)
+    assert {3, 77, None} <= {r[0] for r in maybe.collect()} and maybe.count() + no.count() == 501 and maybe.count() < 60
+
+
+# ---- 1 ----------------------------------------------------------------------------------------------------------
+
+
+def brute_backoff(texts, order, alpha=0.4):
+    docs = [words(t) for t in texts]
+    grams = [Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in docs]
+    total, n = sum(grams, Counter()), sum(map(len, docs))
+    out = []
+    for w, own in zip(docs, grams, strict=True):
+        score = 0.0
+        for i in range(len(w)):
+            m = min(i + 1, order)
+            for k in range(m, 0, -1):
+                g = tuple(w[i - k + 1 : i + 1])
+                if total[g] > own[g]:
+                    below = n - len(w) if k == 1 else total[g[:-1]] - own[g[:-1]]
+                    score += math.log10(alpha ** (m - k) * (total[g] - own[g]) / below)
+                    break
+            else:
+                score += math.log10(alpha**m / max(n - len(w), 1))
+        out.append((len(w), score))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_backoff_matches_brute_force(spark, corpus, order, monkeypatch):
+    monkeypatch.setattr(op1_stupid_backoff, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(op1_stupid_backoff, "PARTITION_GRAMS", 500)
+    got = by_id([tuple(r) for r in op1_stupid_backoff.backoff_scores(frame(spark, corpus), order).collect()])
+    want = by_id([(i, *s) for (i, _, _), s in zip(corpus, brute_backoff([t for _, t, _ in corpus], order), strict=True)])
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
+
+
+@given(st.lists(st.integers(0, 2**63), max_size=50))
+@settings(max_examples=30, deadline=None)
+def test_pack_round_trip(values):
+    x = np.array(values, np.uint64)
+    assert op1_stupid_backoff.unpack(op1_stupid_backoff.pack(x)).tolist() == values
+
+
+# ---- 2 ----------------------------------------------------------------------------------------------------------
+
+
+def test_secret_base_spans():
+    text = 'é password = "abc" PASSWORD: abcdef token=="x9Y8z7 AKIA' + "A" * 16 + " AKIA12 " + "0a" * 12 + " " + "0a" * 11
+    got = [(op2_secrets.KINDS[k], text[s:e]) for s, k, e in op2_secrets.find_secrets(text) if k < 3]
+    assert got == [("assign", "PASSWORD: abcdef"), ("access", "AKIA" + "A" * 16), ("hex", "0a" * 12)]
+    assert op2_secrets.find_secrets("") == [] and op2_secrets.find_secrets("ſecret=abcdefgh") == []
+
+
+@given(st.text("abcdefghij0123456789XYZ+/", min_size=20, max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_incremental_entropy_matches_direct(s):
+    kind = op2_secrets.char_class(s)
+    covered = set()
+    if kind and not op2_secrets.ALLOW.search(s):
+        for i in range(len(s) - 19):
+            c = Counter(s[i : i + 20])
+            if -sum(v / 20 * math.log2(v / 20) for v in c.values()) >= op2_secrets.THRESHOLDS[kind] - 1e-9:
+                covered |= set(range(i, i + 20))
+    assert {x for a, b in op2_secrets.entropy_spans(s) for x in range(a, b)} == covered
+
+
+def test_secret_scan_of_rows(spark):
+    key = "q7Rz2LmX9pTb4WvK8sYd"
+    df = frame(spark, [(1, None, "s"), (2, "", "s"), (3, f"see {key} and example{key}", "s"), (3, f"see {key} and example{key}", "s"), (4, "just some words here in a row", "s")])
+    got = by_id([(r["doc_id"], [(f["kind"], f["start"], f["end"]) for f in r["found"]]) for r in op2_secrets.secret_scan(df).collect()])
+    assert got == [(1, []), (2, []), (3, [("entropy", 4, 24)]), (3, [("entropy", 4, 24)]), (4, [])]
+    assert op2_secrets.secret_scan(frame(spark, [])).count() == 0
+
+
+# ---- 3 ----------------------------------------------------------------------------------------------------------
+
+
+@given(st.text("<s>/[]INSTAYUR\\ x\n", max_size=60), st.text("<s>/[]INST\\", max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_chat_escape_round_trip(text, role):
+    run = template.compile_template(op3_chat_format.TEMPLATE, {"escape": op3_chat_format.escape})
+    messages = [{"role": role, "text": text}, {"role": "assistant", "text": text}]
+    out, spans = run({"messages": messages})
+    assert op3_chat_format.read_back(out) == [(role, text), ("assistant", text)]
+    learned = [op3_chat_format.unescape(out[a:b]) for a, b in spans]
+    assert "".join(learned) == text * (2 if role == "assistant" else 1)
+
+
+def test_template_language():
+    run = lambda s, **v: template.compile_template(s)(v)[0]
+    assert run("{% for x in xs %}{{ loop.index }}{{ x.a | upper }}{% if not loop.last %}, {% endif %}{% endfor %}", xs=[{"a": "p"}, {"a": "q"}]) == "1P, 2Q"
+    assert run("{% set y = 'a' + x %}{{ y }}{# gone #}", x="b") == "ab"
+    assert run("{% if x == 1 and 'a' in 'abc' %}1{% elif x > 1 %}2{% else %}3{% endif %}", x=2) == "2"
+    assert template.fold(template.parse("{% if 1 == 2 %}a{% else %}{{ 'b' + 'c' | upper }}{% endif %}d")) == ("block", [("text", "bCd")])
+    for bad in ("{{ x() }}", "{% for %}", "{% if x %}", "{{ x | nope }}", "{% endfor %}", "{{ 'a' 'b' }}"):
+        with pytest.raises(template.TemplateError):
+            template.parse(bad)
+    with pytest.raises(template.TemplateError):
+        run("{{ x.__class__ }}", x="text")
+    with pytest.raises(template.TemplateError):
+        run("{{ missing }}")
+
+
+def test_chats(spark):
+    rows = [(1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "user", None), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    got = {r["conv_id"]: r for r in op3_chat_format.digests(op3_chat_format.format_chats(df)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1]["n_turns"] == 2 and got[1]["turns_sha256"] == sha("user\n\nassistant\n</s>[INST] ok [/INST]\n") and got[1]["loss_sha256"] == sha("</s>[INST] ok [/INST]")
+    assert got[2]["turns_sha256"] == sha("\nx\n\nx\n") and got[2]["loss_chars"] == 0 and got[None]["n_turns"] == 1
+    assert op3_chat_format.format_chats(df.limit(0)).count() == 0
+
+
+# ---- 4 ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_shards_are_even_and_whole(spark, n):
+    rng = random.Random(n)
+    rows = [(i, "".join(rng.choices("ab cé", k=rng.randrange(1, 400))), "s") for i in range(800)] + [(2000 + i, "same text", "s") for i in range(20)] + [(9000, None, "s"), (9001, "", "s")]
+    out = op4_kd_shards.with_slots(common.cut(op4_kd_shards.kd_shards(frame(spark, rows), n_shards=n))).toPandas()
+    assert sorted(out.doc_id) == sorted(r[0] for r in rows)
+    assert {r[0]: len((r[1] or "").encode()) + 1 for r in rows} == dict(zip(out.doc_id, out["size"], strict=True))
+    weights = out.groupby("shard")["size"].sum()
+    assert len(weights) == n and weights.max() - weights.min() <= 0.03 * out["size"].sum() / n
+    assert (out.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_shards_split_a_hot_group(spark):
+    rows = [(i, "the same words again and again " * 5, "s") for i in range(400)] + [(1000 + i, f"other {i} " * 9, "s") for i in range(200)]
+    weights = op4_kd_shards.kd_shards(frame(spark, rows), target_bytes=10_000).groupBy("shard").agg(F.sum("size").alias("w")).toPandas().w
+    assert weights.max() <= 1.1 * weights.mean()
+    assert op4_kd_shards.kd_shards(frame(spark, []), n_shards=4).count() == 0
+    one = op4_kd_shards.kd_shards(frame(spark, [(1, "x", "s"), (1, "x", "s")]), n_shards=2).collect()
+    assert len(one) == 2
+
+
+# ---- 5 ----------------------------------------------------------------------------------------------------------
+
+
+def toy_toxic(n, seed):
+    rng = random.Random(seed)
+    syllables = ["the", "on", "er", "in", "an", "re", "st", "ou", "ha", "nd", "ble", "ti"]
+    out = []
+    for i in range(n):
+        text = [". ".join(" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(8)) for _ in range(4))]
+        y = i % 3 == 0
+        pairs = rng.choice([("worthless", "nice"), ("moron", "wonder"), ("scum", "calm")])
+        text.insert(rng.randrange(2), rng.choice(["you {} person.", "what a {}.", "total {} here."]).format(pairs[not y]))
+        out.append((" ".join(text), int(y)))
+    return out
+
+
+def test_toxicity_generalises_and_is_bounded():
+    train, held = toy_toxic(600, 1), toy_toxic(300, 2)
+    model = op5_toxicity.fit([t for t, _ in train], np.array([y for _, y in train]))
+    p = model.probabilities(model.margins([t for t, _ in held]))
+    assert ((p >= 0.5) == [bool(y) for _, y in held]).mean() > 0.98 and (p >= 0).all() and (p <= 1).all()
+    odd = model.probabilities(model.margins(["such a m.o.r.o.n she is", "worthlesss thing", "a s c u m indeed", "", "you nice person"]))
+    assert (odd[:3] > 0.5).all() and (odd[3:] < 0.5).all()
+
+
+def test_kernel_matches_direct_computation():
+    def direct(a, b):
+        def features(w):
+            s, out = "\x02" + w, Counter()
+            for i in range(len(s)):
+                for x, y, z in op5_toxicity._STEPS:
+                    if i + x + y + z < len(s):
+                        out[s[i], s[i + x], s[i + x + y], s[i + x + y + z]] += op5_toxicity.DECAY ** (x + y + z + 1)
+            return out
+
+        f, g = features(a), features(b)
+        norm = math.sqrt(sum(v * v for v in f.values()) * sum(v * v for v in g.values()))
+        return sum(v * g[k] for k, v in f.items()) / norm if norm else 0.0
+
+    names = ["worthless", "wortless", "pathetic", "xyz", "worthlesss", "banana"]
+    got = op5_toxicity.Kernel(["worthless", "banana"]).values(names)
+    want = np.array([[direct(a, b) for b in ("worthless", "banana")] for a in names])
+    assert np.allclose(got, np.where(want < op5_toxicity.FLOOR, 0, want), atol=1e-5)
+
+
+def test_toxicity_of_rows(spark):
+    rows = [(i, t, "s") for i, (t, _) in enumerate(toy_toxic(300, 3))] + [(900, None, "s"), (901, "", "s"), (0, toy_toxic(300, 3)[0][0], "s"), (None, "x", "s")]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(toy_toxic(300, 3))] + [(900, None), (77, 0)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    model = op5_toxicity.train(docs, labels)
+    got = by_id([tuple(r) for r in op5_toxicity.toxicity_scores(docs, model).collect()])
+    assert len(got) == len(rows) and all(0 <= s <= 1 for *_, s in got)
+    import zlib
+
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h, _ in got if i is not None)
+    kept = op5_toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(s < 0.5 for *_, s in got)
+    empty = op5_toxicity.train(docs, labels.limit(0))
+    assert all(s < 0.5 for *_, s in op5_toxicity.toxicity_scores(docs, empty).collect())
+    assert op5_toxicity.toxicity_scores(frame(spark, []), model).count() == 0
+
+
+# ---- 6 ----------------------------------------------------------------------------------------------------------
+
+
+def test_near_vectors_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op6_pivot_index, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = [v.tolist() for v in rng.normal(size=(150, 16))]
+    x += [(np.array(x[0]) + rng.normal(size=16) * s).tolist() for s in np.linspace(0.01, 0.4, 80)] + [x[1], x[1], (np.array(x[1]) * 3).tolist()]
+    bad = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] * 16, [None] * 16, [1.0, 2.0]]
+    rows = [(i, v, i % 2 if i < 150 else 0) for i, v in enumerate(x)] + [(900 + i, v, 0) for i, v in enumerate(bad)] + [(950, x[0], None), (951, x[0], None), (5, x[5], 1)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, nid int")
+    got = by_id([tuple(r) for r in op6_pivot_index.near_vectors(df).collect()])
+
+    def links(a, b):
+        if a[2] is None or b[2] is None or a[2] != b[2] or not all(v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v) for v in (a[1], b[1])):
+            return False
+        p, q = np.array(a[1]), np.array(b[1])
+        return p @ q / np.linalg.norm(p) / np.linalg.norm(q) >= 0.98
+
+    n, comp = [0] * len(rows), [r[0] for r in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if links(rows[i], rows[j])]
+    for i, j in pairs:
+        n[i] += 1
+        n[j] += 1
+    for _ in rows:
+        for i, j in pairs:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    want = by_id([(r[0], k, c, r[0] == c) for r, k, c in zip(rows, n, comp, strict=True)])
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert np.mean([g[2] == w[2] for g, w in zip(got, want, strict=True)]) > 0.97
+    assert [g for g in got if g[0] >= 900] == [w for w in want if w[0] >= 900]
+    assert op6_pivot_index.near_vectors(df.limit(0)).count() == 0
+
+
+# ---- 7 ----------------------------------------------------------------------------------------------------------
+
+
+def brute_near(rows):
+    def shingles(t):
+        w = words(t)
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(t) for _, t, _ in rows]
+    comp = list(range(len(rows)))
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                comp[find(i)] = find(j)
+    least = {}
+    for i, (d, _, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, len(sets[i]), least.get(find(i)), d == least.get(find(i))) for i, (d, _, _) in enumerate(rows)]
+
+
+def test_near_duplicates_match_brute_force(spark, corpus, monkeypatch):
+    monkeypatch.setattr(op7_minhash_bayes, "PART", 8)
+    docs = frame(spark, corpus)
+    got = by_id([tuple(r) for r in op7_minhash_bayes.near_duplicates(docs).collect()])
+    assert got == by_id(brute_near(corpus))
+    kept = op7_minhash_bayes.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = {w[0] for w in brute_near(corpus) if w[3]}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(ids) == want and ids.count(205) == (205 in want) and ids.count(None) == 2
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert op7_minhash_bayes.near_duplicates(frame(spark, [])).count() == 0
+    assert [tuple(r) for r in op7_minhash_bayes.near_duplicates(frame(spark, [(1, None, "s")])).collect()] == [(1, 0, 1, True)]
+    assert op7_minhash_bayes.keep_one(frame(spark, [(1, "a b", "s"), (2, "A  b", "t")])).count() == 1
+
+
+def test_bayes_bounds_and_blocks():
+    least = op7_minhash_bayes.least_matches()
+    assert least == sorted(least) and all(0 < m < n for m, n in zip(least, range(40, 201, 40), strict=True))
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 200, 80)).astype(np.uint64) for _ in range(12)]
+    assert op7_minhash_bayes.intersections(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
+# ---- 8 ----------------------------------------------------------------------------------------------------------
+
+
+def test_mix_matches_sql(spark, corpus):
+    import duckdb
+
+    docs = frame(spark, [r for r in corpus if r[0] is not None])
+    documents = docs.toPandas()  # noqa: F841
+    want = duckdb.sql(op8_fair_mix.ORACLE).fetchall()
+    got = [tuple(r) for r in op8_fair_mix.fair_mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()]
+    key = lambda r: tuple(-1 if v is None else round(v, 6) for v in r)
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    total, sources = sum(r[1] for r in got), {}
+    for r, (i, t, s) in zip(by_id(got), by_id([c for c in corpus if c[0] is not None]), strict=True):
+        assert r[4] <= 2 * r[1] and r[1] == len(words(t))
+        sources.setdefault((r[2], r[3]), 0)
+        sources[r[2], r[3]] += r[4]
+    assert all(abs(taken - target) <= 1 for (_, target), taken in sources.items())
+    assert abs(sum(t for _, t in sources) - 1.5 * total) < 1
+
+
+def test_mixed_rows(spark):
+    docs = frame(spark, [(1, "a b c", "x"), (2, None, "x"), (3, "d e", "y"), (None, "f", None)])
+    out = op8_fair_mix.mixed(docs)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} <= {1, 3, None}
+    assert op8_fair_mix.fair_mix(frame(spark, [])).count() == 0
+    assert op8_fair_mix.mixed(frame(spark, [(1, "", "x")])).count() == 0
+
+
+# ---- 9 ----------------------------------------------------------------------------------------------------------
+
+
+def test_licenses_match_brute_force(spark):
+    texts = ["Released under the MIT License.", "x\nreleased under the  MIT license!\nLicensed under the Apache License, Version 2.0.", "released under the GPL", None, "", "the mit license " * 400, " ".join(op9_licenses.TEMPLATES["GPL-3.0-notice"].split()[:-4]), "Ünder the MIT Lîcense"]
+    sets = {k: set(op9_licenses.bigrams_of(v)) for k, v in op9_licenses.TEMPLATES.items()}
+    want = []
+    for i, t in enumerate(texts):
+        hits = []
+        for line in re.sub(r"[^a-z0-9\n]+", " ", (t or "").lower()).split("\n"):
+            w = line.split()
+            g = set(map(" ".join, zip(w, w[1:], strict=False)))
+            found = [(-2 * len(g & s) / (len(g) + len(s)), k) for k, s in sets.items() if g]
+            hits += [min(found)] if found and min(found)[0] <= -op9_licenses.DICE else []
+        want.append((i, len(hits), min(hits)[1] if hits else None, round(-min(hits)[0], 6) if hits else None))
+    got = op9_licenses.license_scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["n_hits"], r["license"], r["score"]) for r in got.collect()) == want
+    assert op9_licenses.license_scan(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        op9_licenses.license_scan(frame(spark, []), {"x": "one"})
+
+
+# ---- 10 ---------------------------------------------------------------------------------------------------------
+
+
+def test_decontamination_tolerates_substitutions(spark, monkeypatch):
+    monkeypatch.setattr(op10_decontaminate, "BLOCK_WORDS", 60)
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(500)]
+    items = [" ".join(rng.choices(vocabulary, k=n)) for n in (20, 30, 50, 6)]
+    benchmark = spark.createDataFrame([(10 + i, t) for i, t in enumerate(items)] + [(20, items[0]), (30, None), (31, "")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    noise = lambda: " ".join(rng.choices(vocabulary, k=40))
+
+    def changed(t):
+        w = t.split()
+        return " ".join("zz" if i % 9 == 4 else x for i, x in enumerate(w))
+
+    rows = [(1, noise(), "s"), (2, f"{noise()} {items[0].upper()} {noise()}", "s"), (3, f"{noise()} {changed(items[1])}", "s"), (4, changed(items[2]), "s"), (5, f"{noise()} {items[3]} {noise()}", "s"), (6, None, "s"), (7, "", "s"), (4, changed(items[2]), "s"), (8, " ".join(items[2].split()[:5]), "s")]
+    docs = frame(spark, rows)
+    got = sorted((r["doc_id"], r["item_id"]) for r in op10_decontaminate.overlaps(docs, benchmark).collect())
+    assert got == [(2, 10), (3, 11), (4, 12), (4, 12), (5, 13)]
+    clean = op10_decontaminate.decontaminate(docs, benchmark)
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 6, 7, 8]
+    assert op10_decontaminate.overlaps(docs, benchmark.limit(0)).count() == 0
+    assert op10_decontaminate.overlaps(frame(spark, []), benchmark).count() == 0
