@@ -173,3 +173,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 def op6_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate links and components of all embeddings."""
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""

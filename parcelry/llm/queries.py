@@ -19,6 +19,8 @@ QUERIES = {
 ORACLES = {
     "op1_stupid_backoff": op1_stupid_backoff.ORACLE,
     "op3_template_chat": op3_chat_format.ORACLE,
+    "op6_pivot_permutation": op6_pivot_index.ORACLE,
+    "op7_minhash_bayes": op7_minhash_bayes.ORACLE,
     "op8_fair_queue_mix": op8_fair_mix.ORACLE,
     "op9_license_dice": op9_licenses.ORACLE,
 }
