@@ -32,7 +32,7 @@ LANDMARKS, TRAIN_ROWS, TRAIN_CHARS = 96, 4000, 20_000
 FLOOR = 0.2
 _TABLE_BITS = 22
 #: Words that a task remembers as near or far from the landmarks; beyond it, it begins anew.
-_REMEMBERED = 600_000
+_REMEMBERED = 300_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _OTHER = re.compile(r"[\W\d_]+")
 _RUN = 24
@@ -158,14 +158,14 @@ class Reader:
         at = 0
         while at < len(words):
             end, size = at, 0
-            while end < len(words) and (size < 50_000 or end == at):
+            while end < len(words) and (size < 16_000 or end == at):
                 size += len(words[end]) + 1
                 end += 1
             values = self.kernel.values(words[at:end])
             near = values.any(axis=1)
             for i in range(at, end):
                 if near[i - at]:
-                    self.near[names[i]] = values[i - at]
+                    self.near[names[i]] = values[i - at].copy()  # a view would keep all of values
                 else:
                     self.far.add(names[i])
             at = end
@@ -218,7 +218,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS
     clean = sorted(w for w, c in words[0].items() if c >= 2 and w not in strength)
     if chosen and clean:
         kernel = Kernel(chosen)
-        alike = np.concatenate([kernel.values(clean[i : i + 5000]).max(axis=1) for i in range(0, len(clean), 5000)])
+        alike = np.concatenate([kernel.values(clean[i : i + 1000]).max(axis=1) for i in range(0, len(clean), 1000)])
         first = len(chosen)
         return chosen + [clean[i] for i in np.lexsort((np.arange(len(clean)), -alike))[: count - first]], first
     return chosen or ["toxic"], max(len(chosen), 1)
@@ -270,7 +270,11 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
     if not len(toxic) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(kernel, root, np.zeros(int(good.sum())), 0.0, 0.0, 4.0 if share >= 0.5 else -4.0)
-    owners, rows = Reader(kernel).sentences(texts)
+    owners, rows, reader = [], [], Reader(kernel)
+    for i in range(0, len(texts), 200):
+        some, found = reader.sentences(texts[i : i + 200])
+        owners += [i + t for t in some]
+        rows += found
     owner = np.array(owners, np.int64)
     x = np.array(rows).reshape(len(rows), len(kernel.landmarks)) @ root
     clean = toxic[owner] == 0 if len(owner) else np.zeros(0, bool)
@@ -322,7 +326,7 @@ def _scores(model: Model, column: pa.Array, reader: Reader) -> np.ndarray:
     for v in column:
         texts.append(v.as_py() or "")
         size += len(texts[-1])
-        if size > 3 << 20:
+        if size > 2 << 20:
             out.append(model.margins(texts, reader))
             texts, size = [], 0
     if texts:
