@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import blocks, read
+from .common import blocks, read, shuffle_partitions
 
 ORDER, BACKOFF = 2, 0.4
 #: Bytes of text in a batch of documents, and n-grams that one partition of the count tables receives, about.
@@ -129,9 +129,12 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     size = rows.select("text").mapInArrow(_measure, "bytes long, words long").agg(F.sum("bytes"), F.sum("words")).first()
     n_batches, words = blocks(size[0] or 0, BATCH_BYTES), size[1] or 0
     bits = (blocks(words * order, PARTITION_GRAMS) - 1).bit_length()
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)))
-    asked = dealt.groupBy("batch").applyInArrow(_ask(order, bits), "batch long, k int, part long, grams binary, counts binary")
-    answered = asked.groupBy("k", "part").applyInArrow(_answer, "batch long, k int, part long, totals binary")
+    # as many partitions as there are batches or parts of the count tables, so a task holds one or two at any size
+    by_batch = max(shuffle_partitions(rows.sparkSession), n_batches)
+    by_part = max(shuffle_partitions(rows.sparkSession), order << bits)
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches))).repartition(by_batch, "batch")
+    asked = dealt.groupBy("batch").applyInArrow(_ask(order, bits), "batch long, k int, part long, grams binary, counts binary").repartition(by_part, "k", "part")
+    answered = asked.groupBy("k", "part").applyInArrow(_answer, "batch long, k int, part long, totals binary").repartition(by_batch, "batch")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(_score(order, words, backoff), f"doc_id {id_type}, n_words long, score double")
 
