@@ -17,7 +17,7 @@ WEIGHTS = (3, 1, 2)
 #: The mix holds this part of all words; a source gives at most CAP times its words.
 SHARE, CAP = 1.5, 2
 #: Rows that one task orders within a source.
-PER_BUCKET = 20_000
+PER_BUCKET = 2_000
 
 
 def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFrame:
