@@ -21,17 +21,59 @@ from .common import connected_components, cut, read
 COSINE, NEAREST, BLOCK = 0.98, 6, 400
 #: Pivots come from a sample of at most SAMPLE vectors (least hashes of their ids), no two nearer than SPREAD.
 SAMPLE, SPREAD, LEAST_PIVOTS, MOST_PIVOTS = 20_000, 0.7, 128, 2048
+SHARED = 2
+#: Any two vectors share SHARED of their NEAREST pivots if there are no more pivots than that.
+ALWAYS_MEET = 2 * NEAREST - SHARED
+#: Least part of the sample's near pairs that meets in a list; else fewer pivots are used.
+SAMPLE_RECALL = 0.95
 
 
 def choose_pivots(sample: np.ndarray, count: int, spread: float = SPREAD) -> np.ndarray:
-    """Unit rows of the sample, in order, that are not within `spread` of one chosen before."""
+    """Unit rows of the sample, in order, that are not within `spread` of one chosen before.
+
+    A narrow sample has few of them; the rows farthest from all chosen ones then fill them up to LEAST_PIVOTS. As
+    close pivots separate near vectors, only so many of these are used that the near pairs of the sample meet.
+    """
     chosen: list[np.ndarray] = []
     for x in sample:
         if len(chosen) == count:
             break
         if not chosen or (np.array(chosen) @ x).max() < spread:
             chosen.append(x)
-    return np.array(chosen) if chosen else np.zeros((0, sample.shape[1] if sample.ndim == 2 else 0))
+    if not chosen:
+        return np.zeros((0, sample.shape[1] if sample.ndim == 2 else 0))
+    first = len(chosen)
+    if first >= min(LEAST_PIVOTS, count):
+        return np.array(chosen)
+    nearest = (sample @ np.array(chosen).T).max(axis=1)
+    while len(chosen) < min(LEAST_PIVOTS, count, len(sample)):
+        chosen.append(sample[np.argmin(nearest)])
+        nearest = np.maximum(nearest, sample @ chosen[-1])
+    pivots = np.array(chosen)
+    for n in sorted({len(pivots), *(n for n in (64, 32, 16) if n < len(pivots)), *([first] if first > ALWAYS_MEET else [])}, reverse=True):
+        if n <= ALWAYS_MEET or sample_recall(sample, pivots[:n]) >= SAMPLE_RECALL:
+            return pivots[:n]
+    return pivots[:ALWAYS_MEET]
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The numbers of the NEAREST nearest pivots of each unit row, ascending."""
+    return np.sort(np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :NEAREST].astype(np.int32), axis=1)
+
+
+def sample_recall(sample: np.ndarray, pivots: np.ndarray, rows: int = 2000, step: int = 200) -> float:
+    """Of the near pairs of the first `rows` sample rows with any, the part that shares two pivots; 1 if there is none."""
+    top = nearest_pivots(sample, pivots)
+    marks = np.zeros((len(sample), len(pivots)), np.float32)
+    np.put_along_axis(marks, top, 1, axis=1)
+    pairs = met = 0
+    for at in range(0, min(rows, len(sample)), step):
+        i, j = np.nonzero(sample[at : at + step] @ sample.T >= COSINE)
+        i, j = i[i + at != j] + at, j[i + at != j]
+        for k in range(0, len(i), 20_000):
+            met += int(((marks[i[k : k + 20_000]] * marks[j[k : k + 20_000]]).sum(axis=1) >= SHARED).sum())
+        pairs += len(i)
+    return met / pairs if pairs else 1.0
 
 
 def _unit(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
@@ -140,8 +182,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         def describe(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    sims = _unit(b.column(1).to_pylist(), dim, kind) @ shared.value.T
-                    top = np.sort(np.argsort(-sims, axis=1, kind="stable")[:, :NEAREST].astype(np.int32), axis=1)
+                    top = nearest_pivots(_unit(b.column(1).to_pylist(), dim, kind), shared.value)
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top.tolist(), pa.list_(pa.int32()))], ["nid", "top"])
 
         tops.append(reps.filter(F.col("dim") == dim).select("nid", "vec").mapInArrow(describe, "nid long, top array<int>"))

@@ -337,6 +337,26 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert op6_pivot_index.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [0.05, 0.2, 0.4])
+def test_near_vectors_of_a_narrow_cone(spark, width):
+    rng = np.random.default_rng(11)
+    x = 1 + rng.normal(size=(300, 32)) * width
+    x = np.vstack([x, x[:90] + rng.normal(size=(90, 32)) * 0.05])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    assert (unit @ unit.T).min() > 0.7 or width > 0.2
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in op6_pivot_index.near_vectors(df).collect()}
+    want = near.sum(axis=1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.9 * want.sum() > 0
+
+
+def test_near_vectors_of_two(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.99, 0.14], 0), (3, [1.0, 0.0, 0.0], 0), (4, [2.0, 0.0, 0.0], 0), (5, [1.0], 0)]
+    got = [tuple(r) for r in op6_pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    assert sorted(got) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+
+
 # ---- 7 ----------------------------------------------------------------------------------------------------------
 
 
