@@ -403,6 +403,18 @@ def test_near_duplicates_of_nothing(spark):
     assert op7_minhash_bayes.keep_one(frame(spark, [(1, "a b", "s"), (2, "A  b", "t")])).count() == 1
 
 
+def test_keep_one_goes_by_row(spark):
+    text = lambda k, n=40: " ".join(f"t{k}_{i}" for i in range(n))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3))]  # a null-id copy beside unique null-id rows
+    rows += [(None, text(4)), (None, text(4) + " more"), (None, text(4).upper())]  # near copies without ids
+    rows += [(7, text(1)), (7, text(5)), (8, text(6)), (8, text(6) + " more")]  # ids with two texts
+    rows += [(9, text(9)), (9, text(9).upper()), (None, ""), (None, None), (None, "")]
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    kept = [(r["doc_id"], (r["text"] or "").lower().split(" ")[0][:2]) for r in op7_minhash_bayes.keep_one(docs).collect()]
+    want = [(1, "t1"), (None, "t2"), (None, "t3"), (None, "t4"), (7, "t5"), (8, "t6"), (9, "t9"), (None, ""), (None, "")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_bayes_bounds_and_blocks():
     least = op7_minhash_bayes.least_matches()
     assert least == sorted(least) and all(0 < m < n for m, n in zip(least, range(40, 201, 40), strict=True))
