@@ -7,6 +7,7 @@ is compared with the text along the hit's diagonal, and the overlap counts if en
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +19,13 @@ from . import tokens
 from .common import blocks, read
 
 # Fixed masks: positions of a window that are hashed.
-MASKS = ((0, 1, 3, 6, 7, 10), (0, 2, 3, 4, 8, 9), (0, 1, 4, 5, 7, 9))
+MASKS = (
+    (0, 1, 3, 6, 7, 10), (0, 2, 3, 4, 8, 9), (0, 1, 4, 5, 7, 9), (2, 6, 7, 8, 9, 10), (1, 2, 3, 4, 5, 10), (0, 1, 5, 6, 8, 9),
+    (0, 4, 5, 6, 7, 10), (1, 5, 7, 8, 9, 10), (1, 3, 4, 6, 7, 8), (0, 2, 3, 5, 7, 9), (0, 1, 3, 4, 8, 10), (1, 2, 3, 5, 6, 10),
+)
 SPAN = 11
-#: An overlap has at least this many agreeing words (or all of a shorter item), and this part of its words agree.
+#: An overlap has at least this many agreeing words, and this part of its words agree; where a whole item of SPAN words or
+#: more is compared, this part of it is enough, and a shorter item must agree in all words.
 LEAST_WORDS, IDENTITY = 13, 0.7
 #: Words of benchmark items that one pass over the documents joins; more items take more passes.
 BLOCK_WORDS = 2_000_000
@@ -50,8 +55,9 @@ class Seeds:
             bitmap[seed >> np.uint64(64 - _BITS)] = True
             self.tables.append((seed[order], item[order], place[order], bitmap))
 
-    def hits(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, first word, agreeing words, words compared): the best overlap of each row and item."""
+    def hits(self, h: np.ndarray, at: np.ndarray, share: float = 1.0) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, first word, agreeing words, words compared): the best overlap of each row and item. Where all of
+        an item of SPAN words or more meets the text, `share` of its words are enough, if these are under LEAST_WORDS."""
         rows, items, diagonals = [], [], []
         for (width, picks), (seed, item, place, bitmap) in zip(self.widths, self.tables, strict=True):
             own, own_at = tokens.windows(h, at, width, picks)
@@ -72,21 +78,27 @@ class Seeds:
             text, item = h[at[r] : at[r + 1]], self.words[i]
             a, b = max(0, -d), min(len(item), len(text) - d)
             same = item[a:b] == text[a + d : b + d]
-            got = overlap(same, min(LEAST_WORDS, len(item)))
+            whole = share if SPAN <= len(item) == b - a else 1.0
+            got = overlap(same, min(LEAST_WORDS, math.ceil(whole * len(item) - 1e-9)))
             if got and got[0] > best.get((r, i), (0, 0, 0))[0]:
                 best[r, i] = (got[0], got[1], a + d + got[2])
         return [(r, i, start, m, n) for (r, i), (m, n, start) in best.items()]
 
 
 def overlap(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
-    """(agreeing words, words, first word) of the stretch with the largest sum of agreements less IDENTITY a word, if
-    it has `least` agreeing words. Stretches of nonnegative sum have at least IDENTITY agreeing."""
-    total = np.concatenate([[0.0], np.cumsum(same - IDENTITY)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    m = int(same[start:end].sum())
-    return (m, end - start, start) if m >= least and end > start else None
+    """(agreeing words, words, first word) of a stretch of which IDENTITY of the words agree and that has `least`
+    agreeing words: the one with the most of them, the shortest of these; None if there is none."""
+    ones = np.concatenate([[0], np.cumsum(same)])
+    total = 10 * ones - round(10 * IDENTITY) * np.arange(len(ones))  # in tenths of a word: exact
+    # from each place, the last end whose sum is not below: the largest sum from an end on is at least that of the place
+    rest = np.maximum.accumulate(total[::-1])[::-1]
+    end = len(rest) - 1 - np.searchsorted(rest[::-1], total, "left")
+    m = ones[end] - ones
+    if m.max() < max(least, 1):
+        return None
+    start = int(np.flatnonzero(m == m.max())[-1])
+    stop = int(np.searchsorted(ones, ones[end[start]]))  # ends with the last agreeing word
+    return int(m[start]), stop - start, start
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 data, bounds = tokens.utf8(b.column(1))
                 for i, j in tokens.slices(bounds):
                     h, at = tokens.word_hashes(data, bounds[i : j + 1])
-                    got = own.hits(h, at)
+                    got = own.hits(h, at, IDENTITY)
                     if got:
                         ids = [b.column(0).take(pa.array([i + r for r, *_ in got])), pa.array([own.ids[k] for _, k, *_ in got])]
                         yield pa.RecordBatch.from_arrays([*ids, *(pa.array([g[c] for g in got], pa.int64()) for c in (2, 3, 4))], ["doc_id", "item_id", "first_word", "matched", "compared"])
@@ -149,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 keep = np.ones(b.num_rows, bool)
                 for i, j in tokens.slices(bounds):
                     h, own = tokens.word_hashes(data, bounds[i : j + 1])
-                    keep[[i + r for r, *_ in shared.value.hits(h, own)]] = False
+                    keep[[i + r for r, *_ in shared.value.hits(h, own, IDENTITY)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -530,3 +530,30 @@ def test_seed_hits_match_brute_force():
     seeds = op10_decontaminate.Seeds([(i, h[at[i] : at[i + 1]].view(np.int64).tolist()) for i in range(len(items))])
     got = {(r, k): m for r, k, _, m, _ in seeds.hits(*hashed(docs))}
     assert got == {(r, k): m for r, t in enumerate(docs) for k, item in enumerate(items) if (m := brute(t, item))} and len(got) > 20
+
+
+def test_overlap_takes_any_stretch_at_the_identity():
+    rng = random.Random(2)
+    assert op10_decontaminate.overlap(np.array([True] * 10 + [False] * 6 + ([True] * 3 + [False]) * 5 + [True] * 2), 13)[0] == 27
+    for _ in range(500):
+        same = np.array([rng.random() < 0.7 for _ in range(rng.randrange(1, 30))])
+        best = max((m for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 10 * (m := int(same[i:j].sum())) >= 7 * (j - i)), default=0)
+        got = op10_decontaminate.overlap(same, 5)
+        assert (got[0] if got else 0) == (best if best >= 5 else 0)
+        assert got is None or same[got[2] : got[2] + got[1]].sum() == got[0] >= 0.7 * got[1] - 1e-9
+
+
+@pytest.mark.parametrize(("n", "least"), [(11, 0.8), (12, 0.95), (15, 0.97), (20, 0.98), (30, 0.99)])
+def test_seed_recall_of_whole_items(n, least):
+    rng = random.Random(n)
+    item = [f"i{k}" for k in range(n)]
+    texts = []
+    while len(texts) < 800:
+        rate = rng.choice([0.1, 0.15, 0.2, 0.25])
+        w = [x if rng.random() >= rate else "zz" for x in item]
+        if 10 * (n - w.count("zz")) >= 7 * n:
+            texts.append(" ".join(["before"] * 5 + w + ["after"] * 5))
+    h, at = tokens.word_hashes(*tokens.utf8(pa.array([" ".join(item)], pa.string())))
+    seeds = op10_decontaminate.Seeds([(0, h.view(np.int64).tolist())])
+    hits = seeds.hits(*tokens.word_hashes(*tokens.utf8(pa.array(texts, pa.string()))), op10_decontaminate.IDENTITY)
+    assert len({r for r, *_ in hits}) >= least * len(texts)
