@@ -176,6 +176,21 @@ def test_secret_scan_of_rows(spark):
     assert op2_secrets.secret_scan(frame(spark, [])).count() == 0
 
 
+def test_entropy_finds_keys_of_each_class_behind_prefixes():
+    rng = random.Random(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base64": lower + upper + digits + "+/", "alnum": lower + upper + digits, "letters": lower + upper, "hex": digits + "ABCDEF", "lower": lower + digits}
+    for kind, n, least in [(k, n, 0.6 if (k, n) == ("lower", 20) else 0.8) for k in kinds for n in (20, 24, 32, 40)]:
+        for prefix in ("", "AUTH=", "sk_"):
+            keys = [prefix + "".join(rng.choices(kinds[kind], k=n)) for _ in range(200)]
+            assert sum(any(k == 3 for _, k, _ in op2_secrets.find_secrets(x)) for x in keys) >= least * 200, (kind, n, prefix)
+    key = "q7Rz2LmX9pTb4WvK8sYd"
+    (found,) = op2_secrets.key_spans(f"api/path/to/{key}/your-example")
+    assert found[0] <= 12 and 32 <= found[1] <= 33
+    for text in ("internationalizationsupport", "getUserAccountManagerFactory", "MAXIMUM_CONNECTION_POOL_SIZE", "usr/local/lib/python/dist/packages", "12345678901234567890123", "example" + key):
+        assert op2_secrets.key_spans(text) == []
+
+
 # ---- 3 ----------------------------------------------------------------------------------------------------------
 
 
