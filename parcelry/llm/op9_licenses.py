@@ -30,6 +30,23 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "rights-reserved": "Copyright. All rights reserved.",
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+    "AGPL-3.0-notice": "Licensed under the GNU Affero General Public License, version 3.",
+    "Apache-2.0-short": "Licensed under the Apache License 2.0.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "GPL-2.0-work": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0-work": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC-short": "Licensed under the ISC License.",
+    "LGPL-3.0-notice": "Licensed under the GNU Lesser General Public License, version 3.",
+    "MIT-project": "This project is released under the MIT License.",
+    "MIT-project-licensed": "This project is licensed under the MIT License.",
+    "MIT-grant-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
 }
 DICE = 0.8
 

@@ -490,6 +490,12 @@ def test_licenses_match_brute_force(spark):
         op9_licenses.license_scan(frame(spark, []), {"x": "one"})
 
 
+def test_usual_license_lines_hit(spark):
+    lines = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "This project is released under the MIT License.", op9_licenses.TEMPLATES["MIT-grant-full"]]
+    got = op9_licenses.license_scan(frame(spark, [(i, f"some words\n{x}\nmore words", "s") for i, x in enumerate(lines)]))
+    assert [(r["n_hits"], r["license"]) for r in got.orderBy("doc_id").collect()] == [(1, "GPL-3.0-work"), (1, "CC-BY-NC-4.0"), (1, "MIT-project"), (1, "MIT-grant-full")]
+
+
 # ---- 10 ---------------------------------------------------------------------------------------------------------
 
 
