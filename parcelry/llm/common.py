@@ -37,6 +37,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df does not have, in any case, one for each stem."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], least: int = 256, most: int = 4096) -> DataFrame:
+    """rows left-joined with table on keys, which are unique in table; rows with a null key match nothing.
+
+    A key of more than max(least, rows / most) rows is hot: there are at most `most` of these, so their table rows
+    are broadcast and their rows stay where they are; only the others are shuffled.
+    """
+    new = [c for c in table.columns if c not in keys]
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    counts = rows.filter(some).groupBy(*keys).agg(F.count("*").alias("__rows"))
+    total = counts.agg(F.sum("__rows")).first()[0] or 0
+    hot = counts.filter(F.col("__rows") > max(least, total // most)).drop("__rows").join(table, keys)
+    hot = F.broadcast(cut(hot.withColumn("__hot", F.lit(True))))
+    first = rows.join(hot, keys, "left")
+    done = first.filter(F.col("__hot") | ~some).select(*rows.columns, *new)
+    rest = first.filter(F.col("__hot").isNull() & some).select(*rows.columns).join(table, keys, "left").select(*rows.columns, *new)
+    return done.unionByName(rest)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,18 +88,23 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list, value:
     return within.join(sums, on, "left").withColumn(out, F.col("__within") + F.col("__before")).drop("__within", "__before", "__rb", *[f"__k{i}" for i in range(len(keys))])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, least: int = 256, most: int = 4096) -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node id reachable.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), each an aggregation and a join; the edge
-    table is written and reread after each round. Edges between equal nodes only make the node appear.
+    table is written and reread after each round. Edges between equal nodes only make the node appear. Hubs (nodes of
+    over max(least, edges / most) edges, so at most 2 * most of them) get their minimum by broadcast, and their edges
+    stay where they are.
     """
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select(F.col("u"), F.col("v"))
         if large:
             both = both.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        joined = both.join(low, F.col("u") == F.col("k"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
+        hot = F.col("n") > max(least, n // most)
+        first = both.join(F.broadcast(low.filter(hot)), F.col("u") == F.col("k"), "left")
+        rest = first.filter("k is null").select("u", "v").join(low.filter(~hot), F.col("u") == F.col("k"))
+        joined = first.filter("k is not null").unionByName(rest)
         if large:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -76,10 +113,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     base = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null").distinct())
     e = base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    seen = None
+    seen, n = None, base.count()
     for _ in range(rounds):
-        e = cut(star(star(e, True), False))
+        if not n:
+            break
+        e = cut(star(star(e, True, n), False, n))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = now[0]
         if tuple(now) == seen:
             break
         seen = tuple(now)
@@ -100,9 +140,11 @@ def bitmap_split(df: DataFrame, column: str, ids: DataFrame, id_col: str, bits:
     The ids set bits of a bitmap of fixed size, held as at most bits / 64 rows, which is what is broadcast whatever
     the number of ids. Nulls are one value.
     """
+    word, mask, h = fresh(df, "word", "mask", "h")
     slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
-    marks = ids.select(slot(id_col).alias("h")).select(F.floor(F.col("h") / 64).cast("long").alias("__w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("m"))
-    words = F.broadcast(cut(marks.groupBy("__w").agg(F.bit_or("m").alias("__m"))))
-    h = df.withColumn("__h", slot(column)).join(words, F.floor(F.col("__h") / 64).cast("long") == F.col("__w"), "left")
-    hit = F.expr("coalesce(__m, 0L) & shiftleft(1L, cast(__h % 64 as int))") != 0
-    return h.filter(hit).select(df.columns), h.filter(~hit).select(df.columns)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` % 64 as int))")
+    marks = ids.select(slot(id_col).alias(h)).select(F.floor(F.col(h) / 64).cast("long").alias(word), bit(h).alias(mask))
+    words = F.broadcast(cut(marks.groupBy(word).agg(F.bit_or(mask).alias(mask))))
+    marked = df.withColumn(h, slot(column)).join(words, F.floor(F.col(h) / 64).cast("long") == F.col(word), "left")
+    hit = F.coalesce(F.col(mask), F.lit(0).cast("long")).bitwiseAND(bit(h)) != 0
+    return marked.filter(hit).select(df.columns), marked.filter(~hit).select(df.columns)

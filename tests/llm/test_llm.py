@@ -455,16 +455,39 @@ def test_mix_matches_sql(spark, corpus):
         assert r[4] <= 2 * r[1] and r[1] == len(words(t))
         sources.setdefault((r[2], r[3]), 0)
         sources[r[2], r[3]] += r[4]
-    assert all(abs(taken - target) <= 1 for (_, target), taken in sources.items())
-    assert abs(sum(t for _, t in sources) - 1.5 * total) < 1
+    # the one clock of all sources: each is within one document of its target, and the budget is used to the word
+    longest = {}
+    for r in got:
+        longest[r[2], r[3]] = max(longest.get((r[2], r[3]), 0), r[1])
+    assert all(abs(taken - source[1]) <= longest[source] for source, taken in sources.items())
+    assert sum(sources.values()) == math.floor(1.5 * total)
 
 
-def test_mixed_rows(spark):
+def test_the_cut_decides_the_mix(spark, corpus, monkeypatch):
+    docs = frame(spark, [r for r in corpus if r[0] is not None])
+    take = lambda: {tuple(r) for r in op8_fair_mix.fair_mix(docs).select("doc_id", "key", "taken").collect()}
+    mix = take()
+    monkeypatch.setattr(op8_fair_mix, "cut_time", lambda *a: (math.inf, 0))
+    assert take() != mix
+
+
+def test_mixed_rows(spark, corpus):
     docs = frame(spark, [(1, "a b c", "x"), (2, None, "x"), (3, "d e", "y"), (None, "f", None)])
     out = op8_fair_mix.mixed(docs)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} <= {1, 3, None}
     assert op8_fair_mix.fair_mix(frame(spark, [])).count() == 0
     assert op8_fair_mix.mixed(frame(spark, [(1, "", "x")])).count() == 0
+    # null ids, ids of several texts and repeated rows are taken row by row, as often as the mix says
+    rows = [*corpus, *[(None, f"null id {i} " * (i % 4 + 1), "s1") for i in range(40)], *[(5, f"same id {i}", "s2") for i in range(40)], *[(7, "the same row again", "s2")] * 50]
+    docs = frame(spark, rows)
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in op8_fair_mix.mixed(docs).collect())
+    keyed = docs.select("doc_id", "text", "source", op8_fair_mix._shuffled("doc_id", "text").alias("k")).distinct()
+    sizes = {(r["doc_id"], r["k"], r["source"]): r["text"] for r in keyed.collect()}
+    want = Counter()
+    for r in op8_fair_mix.fair_mix(docs).collect():
+        if r["copies"]:
+            want[r["doc_id"], sizes[r["doc_id"], r["key"], r["source"]], r["source"]] += r["copies"]
+    assert got == want
 
 
 # ---- 9 ----------------------------------------------------------------------------------------------------------
