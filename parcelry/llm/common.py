@@ -49,8 +49,9 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], least: int = 256, most: int = 4096) -> DataFrame:
-    """rows left-joined with table on keys, which are unique in table; rows with a null key match nothing.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str | None = None, least: int = 256, most: int = 4096) -> DataFrame:
+    """rows left-joined with table on keys, which are unique in table; rows with a null key match nothing. If a column
+    of table holds the number of rows of its key already, `size` names it.
 
     A key of more than max(least, rows / most) rows is hot: there are at most `most` of these, so their table rows
     are broadcast and their rows stay where they are; only the others are shuffled.
@@ -59,10 +60,11 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], least: int = 256,
     some = F.lit(True)
     for k in keys:
         some = some & F.col(k).isNotNull()
-    counts = rows.filter(some).groupBy(*keys).agg(F.count("*").alias("__rows"))
-    total = counts.agg(F.sum("__rows")).first()[0] or 0
-    hot = counts.filter(F.col("__rows") > max(least, total // most)).drop("__rows").join(table, keys)
-    hot = F.broadcast(cut(hot.withColumn("__hot", F.lit(True))))
+    counts = table if size else cut(rows.filter(some).groupBy(*keys).agg(F.count("*").alias("__rows")))
+    n = F.col(size or "__rows")
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = counts.filter(n > max(least, total // most))
+    hot = F.broadcast((hot if size else hot.drop("__rows").join(table, keys)).withColumn("__hot", F.lit(True)))
     first = rows.join(hot, keys, "left")
     done = first.filter(F.col("__hot") | ~some).select(*rows.columns, *new)
     rest = first.filter(F.col("__hot").isNull() & some).select(*rows.columns).join(table, keys, "left").select(*rows.columns, *new)

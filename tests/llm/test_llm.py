@@ -461,6 +461,40 @@ def test_keep_one_goes_by_row(spark):
     assert sorted(kept, key=repr) == sorted(want, key=repr)
 
 
+def test_keep_one_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "gone_id", "gone_ca", "h", "mask", "word", "__h", "__w", "__m", "ca", "bare", "row", "n"]
+    rows = [(i, t, *[i * 100 + k for k in range(len(names) - 2)]) for i, t in ((1, "a b c d e f"), (2, "a b c d e f"), (3, "other"), (4, None), (5, "x y"), (5, "x y"))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names[2:]])
+    assert sorted(tuple(r) for r in op7_minhash_bayes.keep_one(docs).collect()) == sorted({r for r in rows if r[0] != 2})
+
+
+def test_unrelated_long_texts_do_not_survive():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(20)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    small = op7_minhash_bayes.small_hashes(op7_minhash_bayes.signatures(np.concatenate(sets), at))
+    assert not len(op7_minhash_bayes.candidates(small, np.diff(at), np.ones((20, 20), bool)))
+    same = (small[:, None, :] == small[None, :, :])[np.triu_indices(20, 1)].mean()
+    assert abs(same - 1 / 256) < 0.002
+
+
+def test_null_ids_send_one_text_each(spark, monkeypatch):
+    """Texts under null or repeated ids are matched by their words: no row meets every member."""
+    seen = []
+    compare = op7_minhash_bayes._verified
+
+    def counted(placed, reps, docs):
+        seen.append(placed.count())
+        return compare(placed, reps, docs)
+
+    monkeypatch.setattr(op7_minhash_bayes, "_verified", counted)
+    base = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join([*base[:20], f"x{i}", *base[20:]]), "s") for i in range(60)] + [(7, " ".join([*base, f"y{i}"]), "s") for i in range(60)]
+    got = op7_minhash_bayes.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == sorted((d or 0, n, c) for d, n, c, _ in brute_near(rows))
+    assert seen[0] <= 40 * len(rows)
+
+
 def test_bayes_bounds_and_blocks():
     least = op7_minhash_bayes.least_matches()
     assert least == sorted(least) and all(0 < m < n for m, n in zip(least, range(40, 201, 40), strict=True))
