@@ -29,8 +29,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row, in 8 shards of near equal bytes."""
-    return op4_kd_shards.with_slots(cut(op4_kd_shards.kd_shards(docs, n_shards=8)))
+    """Every row with all its columns, and its size, text_crc32, shard and slot, in 8 shards of near equal bytes."""
+    return op4_kd_shards.kd_shards(docs, n_shards=8)
 
 
 STAGES = [

@@ -238,25 +238,41 @@ def test_chats(spark):
 def test_shards_are_even_and_whole(spark, n):
     rng = random.Random(n)
     rows = [(i, "".join(rng.choices("ab cé", k=rng.randrange(1, 400))), "s") for i in range(800)] + [(2000 + i, "same text", "s") for i in range(20)] + [(9000, None, "s"), (9001, "", "s")]
-    out = op4_kd_shards.with_slots(common.cut(op4_kd_shards.kd_shards(frame(spark, rows), n_shards=n))).toPandas()
-    assert sorted(out.doc_id) == sorted(r[0] for r in rows)
-    assert {r[0]: len((r[1] or "").encode()) + 1 for r in rows} == dict(zip(out.doc_id, out["size"], strict=True))
-    weights = out.groupby("shard")["size"].sum()
-    assert len(weights) == n and weights.max() - weights.min() <= 0.03 * out["size"].sum() / n
-    assert (out.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
+    rows += [(3000 + i, "half a shard " * 30, "s") for i in range(20)] + [(9002, "long " * 500, "s")]  # heavy, yet whole
+    docs = frame(spark, rows)
+    frame_ = op4_kd_shards.kd_shards(docs, n_shards=n)
+    assert frame_.columns == [*docs.columns, "size_", "text_crc32", "shard", "slot"]  # docs has a column size
+    out = frame_.toPandas()
+    assert sorted(out.doc_id) == sorted(r[0] for r in rows) and set(out["size"]) == {"x"}
+    assert {r[0]: r[1] for r in rows if r[1]} == {k: v for k, v in zip(out.doc_id, out.text, strict=True) if v}
+    assert {r[0]: len((r[1] or "").encode()) + 1 for r in rows} == dict(zip(out.doc_id, out["size_"], strict=True))
+    weights = out.groupby("shard")["size_"].sum()
+    assert len(weights) == n and weights.max() - weights.min() <= 0.03 * out["size_"].sum() / n
+    assert (out.groupby(["text_crc32", "size_"]).shard.nunique() == 1).all()
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
 
 
 def test_shards_split_a_hot_group(spark):
     rows = [(i, "the same words again and again " * 5, "s") for i in range(400)] + [(1000 + i, f"other {i} " * 9, "s") for i in range(200)]
-    weights = op4_kd_shards.kd_shards(frame(spark, rows), target_bytes=10_000).groupBy("shard").agg(F.sum("size").alias("w")).toPandas().w
+    rows += [(None, "one row, many times", "s")] * 900  # rows that nothing tells apart
+    weights = op4_kd_shards.kd_shards(frame(spark, rows), target_bytes=10_000).groupBy("shard").agg(F.sum("size_").alias("w")).toPandas().w
     assert weights.max() <= 1.1 * weights.mean()
     assert op4_kd_shards.kd_shards(frame(spark, []), n_shards=4).count() == 0
     one = op4_kd_shards.kd_shards(frame(spark, [(1, "x", "s"), (1, "x", "s")]), n_shards=2).collect()
     assert len(one) == 2
 
 
+def test_passes_of_the_shard_search_are_bounded(spark, monkeypatch):
+    """However many nodes are open, a pass asks for at most MAX_BINS rows of histograms."""
+    asked = []
+    search = op4_kd_shards._search
+    monkeypatch.setattr(op4_kd_shards, "MAX_BINS", 64)
+    monkeypatch.setattr(op4_kd_shards, "_search", lambda tree, cuts: (asked.append(len(cuts)), search(tree, cuts)))
+    out = op4_kd_shards.kd_shards(frame(spark, [(i, "x" * (i % 97 + 1), "s") for i in range(600)]), n_shards=12).toPandas()
+    assert max(asked) <= 64 // op4_kd_shards.LEAST_BINS and out.shard.nunique() == 12
+
+
 # ---- 5 ----------------------------------------------------------------------------------------------------------
 
 
