@@ -49,9 +49,9 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str | None = None, least: int = 256, most: int = 4096) -> DataFrame:
-    """rows left-joined with table on keys, which are unique in table; rows with a null key match nothing. If a column
-    of table holds the number of rows of its key already, `size` names it.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str | None = None, how: str = "left", least: int = 256, most: int = 4096) -> DataFrame:
+    """rows joined (left or inner) with table on keys, which are unique in table; rows with a null key match nothing.
+    If a column of table holds the number of rows of its key already, `size` names it.
 
     A key of more than max(least, rows / most) rows is hot: there are at most `most` of these, so their table rows
     are broadcast and their rows stay where they are; only the others are shuffled.
@@ -64,7 +64,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str | None
     n = F.col(size or "__rows")
     total = counts.agg(F.sum(n)).first()[0] or 0
     hot = counts.filter(n > max(least, total // most))
-    hot = F.broadcast((hot if size else hot.drop("__rows").join(table, keys)).withColumn("__hot", F.lit(True)))
+    hot = hot if size else hot.drop("__rows").join(table, keys)
+    if hot.isEmpty() and how == "inner":
+        return rows.join(table, keys).select(*rows.columns, *new)
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    if how == "inner":
+        rest = rows.join(hot.select(*keys), keys, "left_anti").join(table, keys).select(*rows.columns, *new)
+        return rows.join(hot, keys).select(*rows.columns, *new).unionByName(rest)
     first = rows.join(hot, keys, "left")
     done = first.filter(F.col("__hot") | ~some).select(*rows.columns, *new)
     rest = first.filter(F.col("__hot").isNull() & some).select(*rows.columns).join(table, keys, "left").select(*rows.columns, *new)
