@@ -118,7 +118,7 @@ def brute_backoff(texts, order, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
 def test_backoff_matches_brute_force(spark, corpus, order, monkeypatch):
     monkeypatch.setattr(op1_stupid_backoff, "BATCH_BYTES", 4000)
     monkeypatch.setattr(op1_stupid_backoff, "PARTITION_GRAMS", 500)
@@ -126,6 +126,7 @@ def test_backoff_matches_brute_force(spark, corpus, order, monkeypatch):
     want = by_id([(i, *s) for (i, _, _), s in zip(corpus, brute_backoff([t for _, t, _ in corpus], order), strict=True)])
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
+    assert np.allclose([g[3] for g in got], [w[2] / max(w[1], 1) for w in want], rtol=1e-9)
 
 
 @given(st.lists(st.integers(0, 2**63), max_size=50))
