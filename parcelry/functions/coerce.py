@@ -15,7 +15,7 @@ TYPES = {"bool": "boolean", "int": "int", "long": "long", "float": "double", "te
 def number(c: Column) -> Column:
     """A double from text with $ and commas; anything unreadable (nan too) is null."""
     d = F.regexp_replace(c.cast("string"), "[$,]", "").try_cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.nanvl(d, F.lit(None).cast("double"))
 
 
 def whole(c: Column, kind: str = "long") -> Column:

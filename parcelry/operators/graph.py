@@ -63,11 +63,13 @@ def orphans(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
 
 
 def audit(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """label, n_nodes, n_out, n_in, n_connected, n_orphans, orphan_pct per label."""
-    zero = F.lit(0).cast("long")
-    one = lambda df, label, at: df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).select("label", *[(F.col("n") if i == at else zero).alias(c) for i, c in enumerate(("n_nodes", "n_out", "n_in", "n_orphans"))])
-    parts = one(node_table, "label", 0).unionByName(one(edge_table, "src_label", 1)).unionByName(one(edge_table, "dst_label", 2)).unionByName(one(orphans(node_table, edge_table), "label", 3))
-    j = parts.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("n_nodes", "n_out", "n_in", "n_orphans")]).filter("n_nodes > 0")
+    """label, n_nodes, n_out, n_in, n_connected, n_orphans, orphan_pct per label, from one aggregation by (label, id) of nodes
+    and edge ends together."""
+    end = lambda side, out: F.struct(F.col(f"{side}_label").alias("label"), F.col(f"{side}_id").alias("id"), F.lit(0).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("in"))
+    ends = edge_table.select(F.explode(F.array(end("src", 1), end("dst", 0))).alias("e")).select("e.*")
+    rows = node_table.select("label", "id", F.lit(1).alias("node"), F.lit(0).alias("out"), F.lit(0).alias("in")).unionByName(ends)
+    by_id = rows.groupBy("label", "id").agg(*[F.sum(c).alias(c) for c in ("node", "out", "in")])
+    j = by_id.groupBy("label").agg(F.sum("node").alias("n_nodes"), F.sum("out").alias("n_out"), F.sum("in").alias("n_in"), F.sum(F.when(F.col("out") + F.col("in") == 0, F.col("node")).otherwise(0)).alias("n_orphans")).filter("n_nodes > 0")
     return j.select("label", "n_nodes", "n_out", "n_in", (F.col("n_nodes") - F.col("n_orphans")).alias("n_connected"), "n_orphans", F.round(F.col("n_orphans") * 100.0 / F.col("n_nodes"), 4).cast("double").alias("orphan_pct"))
 
 

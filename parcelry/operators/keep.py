@@ -25,9 +25,11 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 def keep_best(df: DataFrame, keys: Sequence[str], best: str, ties: Sequence[str]) -> DataFrame:
     """The row of each key with the largest `best` (ties: the least of `ties`). Rows with a null key stay as they are."""
-    known = df.dropna(subset=list(keys))
-    missing = df.filter(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1)
-    return _ranked(known, keys, [F.col(best).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]]).unionByName(missing)
+    missing = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
+    # rows with a null key are dealt by all their values, so that they do not meet in one task
+    marked = df.withColumn("__open", F.when(missing, F.xxhash64(*df.columns)))
+    w = Window.partitionBy(*keys, "__open").orderBy(F.col(best).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties])
+    return marked.withColumn("__rank", F.row_number().over(w)).filter(F.col("__open").isNotNull() | (F.col("__rank") == 1)).drop("__rank", "__open")
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import county_candidates, name_key
 
 
+#: Characters of a query that a place without a state is looked up by.
+GRAM = 4
+
+
 def code_by_name(df: DataFrame, name: str, dim: DataFrame, dim_name: str, dim_code: str, out: str) -> DataFrame:
     """Adds out: the code of the name with the same key, or the name itself. Of names that share a key the least code counts."""
     side = dim.groupBy(name_key(F.col(dim_name)).alias("__key")).agg(F.min(dim_code).alias("__code"))
@@ -33,14 +37,21 @@ def fill_county(df: DataFrame, row_id: str, state: str, name: str, code: str, di
 def resolve_places(requests: DataFrame, places: DataFrame) -> DataFrame:
     """All places (state, state_name, place_code, place_name) whose name contains a request's (request_id, query, state)
     in any case, with match_count. The state, an abbreviation or a full name, is an equality, so requests with a
-    state never meet places of other states; requests without one are compared with all names.
+    state never meet places of other states. Those without one meet the places that have the first GRAM characters of the query
+    somewhere in their name, and are compared with these.
     """
     p = places.select("state", "state_name", "place_code", "place_name")
     hit = F.contains(F.lower("place_name"), F.lower("query"))
     by_state = requests.filter("state is not null").withColumnRenamed("state", "asked")
     keyed = p.select("*", F.explode(F.array_distinct(F.array(F.lower("state"), F.lower("state_name")))).alias("__key"))
     with_state = by_state.join(keyed, F.lower("asked") == F.col("__key")).filter(hit).select("request_id", "query", "state", "place_code", "place_name")
-    without = requests.filter("state is null").drop("state").join(p, hit).select("request_id", "query", "state", "place_code", "place_name")
+    # every piece of a name of up to GRAM characters, the empty one too: a shorter query is a piece itself
+    name = F.lower("place_name")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substr(name, i, n))))
+    by_piece = p.select("*", F.explode(F.array_distinct(pieces)).alias("__piece"))
+    asked = requests.filter("state is null").drop("state").withColumn("__asked", F.substring(F.lower("query"), 1, GRAM))
+    without = asked.join(by_piece, F.col("__asked") == F.col("__piece")).filter(hit).select("request_id", "query", "state", "place_code", "place_name")
     found = with_state.unionByName(without)
     counts = found.groupBy("request_id").agg(F.count("*").alias("match_count")).withColumnRenamed("request_id", "__id")
     return found.join(counts, F.col("request_id") == F.col("__id")).drop("__id")

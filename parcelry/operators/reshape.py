@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,11 @@ def zip_rows(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
 
 
 def token_names(df: DataFrame, group: str, place: str, token: str, endings: Sequence[str]) -> DataFrame:
-    """Tokens of each group, in order, joined and split after each ending word: rows (group, place, name), title case."""
-    joined = df.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, token))), lambda x: x[token]), " ").alias("t"))
-    names = F.regexp_extract_all("t", F.lit(rf"(.+?\b(?:{'|'.join(endings)})\b)"))
-    return joined.select(group, F.posexplode(names).alias("place", "name")).select(group, "place", F.initcap(F.lower(F.trim("name"))).alias("name"))
+    """Tokens of each group, in order, joined and split after each token that is an ending word: rows (group, place,
+    name), title case. Tokens after the last ending are left out. Only the tokens of one name meet in a row."""
+    ends = F.coalesce(F.col(token).rlike(rf"^(?:{'|'.join(endings)})$"), F.lit(False)).cast("int")
+    before = Window.partitionBy(group).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = df.withColumn("__end", ends).withColumn("__piece", F.coalesce(F.sum("__end").over(before), F.lit(0)).cast("int"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct(place, token))), lambda x: x[token])
+    joined = pieces.groupBy(group, "__piece").agg(F.array_join(words, " ").alias("t"), F.max("__end").alias("e")).filter("e = 1")
+    return joined.select(group, F.col("__piece").alias("place"), F.initcap(F.lower(F.trim("t"))).alias("name"))

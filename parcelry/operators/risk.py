@@ -33,22 +33,31 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, dim_id: str, value: str, most
 def scorecard(applications: DataFrame, keys: Sequence[str] = ("county_fips", "assessment_year")) -> DataFrame:
     """One row per key from applications with the columns action, lender_id, amount, purchaser, race, ethnicity,
     multifamily (boolean), denial_reason and the keys. Only originated and denied rows count; null counties are
-    their own group. One shuffle, of partial counts. Amounts are summed as decimals, so their order doesn't matter.
+    their own group. Partial counts are shuffled once by (keys, lender, reason); totals, distinct lenders and the most
+    frequent reason (ties: the least) are plain hash aggregations of that small table. Amounts are summed as decimals,
+    so their order doesn't matter.
     """
     a = applications.filter(F.col("action").isin(ORIGINATED, DENIED))
     denied, made = F.col("action") == DENIED, F.col("action") == ORIGINATED
     minority, white, multi = M.is_minority(F.col("race"), F.col("ethnicity")), M.is_white_non_hispanic(F.col("race"), F.col("ethnicity")), F.coalesce(F.col("multifamily"), F.lit(False))
     reason = F.when(denied & ~F.coalesce(F.col("denial_reason"), F.lit("")).isin(*NO_REASON), F.col("denial_reason"))
     amount = number(F.col("amount"))
-    g = a.groupBy(*keys).agg(
+    money = amount.try_cast("decimal(24,4)")
+    counts = a.groupBy(*keys, "lender_id", reason.alias("reason")).agg(
         F.count("*").alias("total_applications"), F.count_if(made).alias("total_originated"), F.count_if(denied).alias("total_denied"),
         F.count_if(multi).alias("multifamily_applications"), F.count_if(multi & denied).alias("multifamily_denied"),
         F.count_if(minority).alias("n_minority"), F.count_if(minority & denied).alias("d_minority"),
         F.count_if(white).alias("n_white"), F.count_if(white & denied).alias("d_white"),
         F.count_if(made & M.is_gse(F.col("purchaser"))).alias("n_gse"),
-        F.nullif(F.count_distinct("lender_id"), F.lit(0)).alias("lender_count"),
-        M.ratio(F.sum(amount.try_cast("decimal(24,4)")), F.count(amount.try_cast("decimal(24,4)"))).alias("avg_loan_amount"), F.mode(reason, deterministic=True).alias("top_denial_reason"),
+        F.sum(money).alias("amounts"), F.count(money).alias("n_amounts"),
     )
+    summed = [c for c in counts.columns if c not in (*keys, "lender_id", "reason")]
+    g = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in summed], F.nullif(F.count_distinct("lender_id"), F.lit(0)).alias("lender_count"))
+    g = g.withColumn("avg_loan_amount", M.ratio(F.col("amounts"), F.col("n_amounts")))
+    reasons = counts.filter("reason is not null").groupBy(*keys, "reason").agg(F.sum("total_denied").alias("n"))
+    top = reasons.groupBy(*keys).agg(F.min_by("reason", F.struct(-F.col("n"), F.col("reason"))).alias("top_denial_reason"))
+    top = top.select(*[F.col(k).alias(f"__{k}") for k in keys], "top_denial_reason")
+    g = g.join(top, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
     rates = g.select(
         "*", M.ratio(F.col("n_gse"), F.col("total_originated")).alias("gse_sold_pct"), M.ratio(F.col("total_denied"), F.col("total_applications")).alias("denial_rate_overall"),
         M.ratio(F.col("d_minority"), F.col("n_minority")).alias("denial_rate_minority"), M.ratio(F.col("d_white"), F.col("n_white")).alias("denial_rate_white"),

@@ -57,8 +57,8 @@ def upsert_coalesce(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
 
 
 def write_years(df: DataFrame, path: str, year: str = "year") -> None:
-    """One Parquet folder per year; only the years in df are replaced."""
-    df.repartition(year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year).parquet(path)
+    """One Parquet folder per year; only the years in df are replaced. A year of many rows is written by many tasks."""
+    df.hint("rebalance", year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year).parquet(path)
 
 
 class Table:
@@ -104,6 +104,10 @@ def apply_changes(incoming: DataFrame, keys: Sequence[str], columns: Sequence[st
     hashed = keep_last(incoming, keys, [c for c in incoming.columns if c not in keys]).withColumn("content_hash", fingerprint(columns))
     old = state.read()
     actions = change_actions(hashed, old, keys) if old is not None else hashed.withColumn("action", F.lit("CREATE"))
+    # written once: counts, nodes and state come from the same rows, whatever incoming is computed from
+    path = f"{nodes.path}/_actions/{uuid.uuid4().hex}"
+    actions.write.parquet(path)
+    actions = incoming.sparkSession.read.schema(actions.schema).parquet(path)
     counts = actions.groupBy("action").agg(F.count("*").alias("n")).orderBy("action").collect()
     changed = actions.filter("action <> 'SKIP'").drop("action")
     if any(r["action"] != "SKIP" for r in counts):

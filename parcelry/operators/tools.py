@@ -63,8 +63,7 @@ def trend(requests: DataFrame, card: DataFrame, key: str, year: str, columns: Se
 def search(df: DataFrame, where: Column, order: Sequence[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
     """Matching rows in order with total_count, the number of all of them; rows are cut only if a limit is given."""
     hits = df.filter(where)
-    total = hits.agg(F.count("*").alias("total_count"))
-    out = hits.crossJoin(F.broadcast(total)).orderBy(*order)
+    out = hits.withColumn("total_count", hits.agg(F.count("*")).scalar()).orderBy(*order)
     out = out.offset(offset) if offset else out
     return out if limit is None else out.limit(limit)
 
@@ -87,7 +86,5 @@ def side_by_side(df: DataFrame, key: str, year: str, years: Sequence[int], measu
 
 
 def run_sql(tables: dict[str, DataFrame], query: str) -> DataFrame:
-    """A query over the tables as temporary views."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return next(iter(tables.values())).sparkSession.sql(query)
+    """A query whose {name} stand for the tables. No view of the session is made or replaced for good."""
+    return next(iter(tables.values())).sparkSession.sql(query, **tables)

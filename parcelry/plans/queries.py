@@ -11,7 +11,7 @@ from ..functions import codes as C
 from ..functions import measures as M
 from ..functions import text as X
 from ..functions.coerce import enforce, padded_columns
-from ..operators import checks, collapse, graph, keep, lines, matching, reshape, risk, snapshots, tools, vintages
+from ..operators import checks, collapse, graph, keep, lines, matching, questions, reshape, risk, snapshots, tools, vintages
 from .stand_ins import ROUNDED, applications, card, card_sql, card_with_metro, county, rounded, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,7 +218,10 @@ def explode_entities(spark: SparkSession, d: str) -> DataFrame:
     return entities.unionByName(zips, allowMissingColumns=True)
 
 
-@query(None)
+@query(r"""WITH w AS (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '\s+') AS p FROM conversations), t AS (SELECT conv_id, turn, unnest(range(len(p))) AS i, unnest(p) AS token FROM w),
+e AS (SELECT *, (token IN ('the', 'que', 'der'))::INTEGER AS e FROM t), g AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY conv_id ORDER BY turn, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS place FROM e),
+n AS (SELECT conv_id, place, lower(trim(string_agg(token, ' ' ORDER BY turn, i), ' ')) AS name FROM g GROUP BY 1, 2 HAVING max(e) = 1)
+SELECT conv_id, place, array_to_string(list_transform(string_split(name, ' '), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || x[2:]), ' ') AS name FROM n""")
 def token_stream_split(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "conversations").select("conv_id", F.col("turn"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("at", "token"))
     return reshape.token_names(words.select("conv_id", (F.col("turn") * 1_000_000 + F.col("at")).alias("place"), "token"), "conv_id", "place", "token", ["the", "que", "der"])
@@ -510,25 +513,136 @@ _VIEW_SQL = "SELECT n.n_name, count(*) AS n_tracts, max(c.c_acctbal) AS top_bala
 
 @query(_VIEW_SQL)
 def sql_views(spark: SparkSession, d: str) -> DataFrame:
-    return tools.run_sql({t: table(spark, d, t) for t in ("customer", "nation")}, _VIEW_SQL)
+    return tools.run_sql({t: table(spark, d, t) for t in ("customer", "nation")}, _VIEW_SQL.replace("FROM customer", "FROM {customer}").replace("JOIN nation", "JOIN {nation}"))
+
+
+# ---- typed questions --------------------------------------------------------------------------------------------
+
+_AREAS = """des AS (SELECT o_custkey AS code, year(o_orderdate)::INTEGER AS year, max(o_totalprice) > 300000 AS is_dda, CASE WHEN max(o_totalprice) > 300000 THEN 30 ELSE 0 END::INTEGER AS boost FROM orders GROUP BY 1, 2),
+metro AS (SELECT des.*, c_name AS area_name, c_nationkey % 7 AS state FROM des JOIN customer ON c_custkey = code),
+rural AS (SELECT s_nationkey AS county, y::INTEGER AS year, max(s_acctbal) > 8500 AS is_dda, CASE WHEN max(s_acctbal) > 8500 THEN 30 ELSE 0 END::INTEGER AS boost, max(s_name) AS area_name, s_nationkey % 7 AS state, s_nationkey AS code FROM supplier, (VALUES (1996), (1997)) v(y) GROUP BY s_nationkey, y)"""
+
+
+def _areas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    metro = _designations(spark, d).select(F.col("o_custkey").alias("code"), F.col("y").alias("year"), F.col("is_q").alias("is_dda"), "boost")
+    metro = metro.join(table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("area_name"), (F.col("c_nationkey") % 7).alias("state")), "code")
+    years = table(spark, d, "supplier").withColumn("year", F.explode(F.array(F.lit(1996), F.lit(1997))))
+    rural = years.groupBy(F.col("s_nationkey").alias("county"), "year").agg((F.max("s_acctbal") > 8500).alias("is_dda"), F.max("s_name").alias("area_name"))
+    return metro, rural.select("*", M.boost(F.col("is_dda")).alias("boost"), (F.col("county") % 7).alias("state"), F.col("county").alias("code"))
+
+
+@query(f"""WITH {_AREAS} SELECT c_custkey AS code, c_nationkey AS county, 1997 AS year, coalesce(m.boost, r.boost) AS boost, CASE WHEN m.code IS NOT NULL THEN 'metro' WHEN r.county IS NOT NULL THEN 'non_metro' END AS dda_kind, m.code IS NOT NULL OR r.county IS NOT NULL AS is_dda
+FROM customer LEFT JOIN (SELECT * FROM metro WHERE is_dda AND year = 1997) m ON m.code = c_custkey LEFT JOIN (SELECT * FROM rural WHERE is_dda AND year = 1997) r ON r.county = c_nationkey""")
+def check_dda(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_nationkey").alias("county"), F.lit(1997).alias("year"))
+    return questions.check_dda(requests, *_areas(spark, d))
+
+
+@query(f"WITH {_AREAS} SELECT code, area_name, 'metro' AS dda_kind FROM metro WHERE is_dda AND year = 1997 AND state = 3 UNION ALL SELECT code, area_name, 'non_metro' FROM rural WHERE is_dda AND year = 1997 AND state = 3")
+def search_dda_areas(spark: SparkSession, d: str) -> DataFrame:
+    return questions.search_dda_areas(*_areas(spark, d), 1997, 3)
+
+
+@query(f"""WITH {_AREAS} SELECT c_custkey AS tract, c_nationkey AS county, c_nationkey % 7 AS state, coalesce(is_dda, false) AS is_qct, coalesce(boost > 0 AND c_acctbal > 0, false) AS is_dda FROM customer LEFT JOIN (SELECT * FROM des WHERE year = 1996) ON code = c_custkey WHERE c_nationkey % 7 = 2 AND coalesce(is_dda, false)""")
+def search_tracts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    tracts = c.select(F.col("c_custkey").alias("tract"), F.col("c_nationkey").alias("county"), (F.col("c_nationkey") % 7).alias("state"))
+    marks = _designations(spark, d).join(c.select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
+    marks = marks.select(F.col("o_custkey").alias("tract"), F.col("y").alias("year"), F.col("is_q").alias("is_qct"), ((F.col("boost") > 0) & (F.col("c_acctbal") > 0)).alias("is_dda"))
+    return questions.search_tracts(tracts, marks, 1996, state=2, is_qct=True)
+
+
+_LIMITS = """lim AS (SELECT CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey::VARCHAR END AS area_code, s_suppkey AS county, s_nationkey % 3 AS state, 1996 + s_suppkey % 2 AS year, ['ELI', 'VLI', 'LI', 'SEC8X'][1 + s_suppkey % 4 // 1 % 4] AS program, s_name AS area_name, s_acctbal AS limit_4person FROM supplier),
+prog AS (SELECT * EXCLUDE (program), unnest(['VLI', program || CASE WHEN program = 'VLI' THEN '_TOO' ELSE '' END]) AS program_type FROM lim)"""
+
+
+def _limits(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    program = F.element_at(F.array(*[F.lit(x) for x in ("ELI", "VLI", "LI", "SEC8X")]), (1 + k % 4).cast("int"))
+    other = F.concat(program, F.when(program == "VLI", "_TOO").otherwise(""))
+    s = table(spark, d, "supplier").select(F.when(k % 4 > 0, k.cast("string")).alias("area_code"), k.alias("county"), (F.col("s_nationkey") % 3).alias("state"), (1996 + k % 2).alias("year"), F.col("s_name").alias("area_name"), F.col("s_acctbal").alias("limit_4person"), F.explode(F.array(F.lit("VLI"), other)).alias("program_type"))
+    return s
+
+
+@query(f"""WITH {_LIMITS} SELECT s.s_suppkey::VARCHAR AS area_code, s.s_suppkey AS county, 1996 + s.s_suppkey % 3 AS year, coalesce(a.limit_4person, c.limit_4person) AS limit_4person, CASE WHEN a.county IS NOT NULL THEN 'first' WHEN c.county IS NOT NULL THEN 'second' END AS answered_by, 'VLI' AS program_type
+FROM supplier s LEFT JOIN (SELECT * FROM prog WHERE program_type = 'VLI') a ON a.area_code = s.s_suppkey::VARCHAR AND a.year = 1996 + s.s_suppkey % 3 LEFT JOIN (SELECT * FROM prog WHERE program_type = 'VLI' AND area_code IS NULL) c ON c.county = s.s_suppkey AND c.year = 1996 + s.s_suppkey % 3""")
+def ami_limits(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    requests = table(spark, d, "supplier").select(k.cast("string").alias("area_code"), k.alias("county"), (1996 + k % 3).alias("year"))
+    return questions.get_ami_limits(requests, _limits(spark, d), ["limit_4person"])
+
+
+@query(f"WITH {_LIMITS} SELECT area_code, county, state, year, area_name, limit_4person, program_type FROM prog WHERE state = 1 AND year = 1997 AND program_type = 'VLI'")
+def state_ami_limits(spark: SparkSession, d: str) -> DataFrame:
+    return questions.get_state_ami_limits(_limits(spark, d), 1, 1997)
+
+
+@query(f"WITH {_LIMITS} SELECT area_code, county, state, year, area_name, limit_4person, program_type FROM prog WHERE year = 1997 AND program_type NOT IN ('ELI', 'VLI', 'LI') AND contains(lower(area_name), 'supplier#')")
+def special_program_limits(spark: SparkSession, d: str) -> DataFrame:
+    return questions.get_special_program_limits(_limits(spark, d), 1997, area_name="Supplier#")
+
+
+@query(card_sql() + f" SELECT {ROUNDED} FROM card WHERE assessment_year = 1996 AND risk_tier = 'moderate' AND county_fips LIKE '00%'")
+def search_hmda_risk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(questions.search_hmda_risk(card(spark, d), 1996, "moderate", "00"))
+
+
+@query(card_sql() + """, m AS (SELECT card.*, CASE WHEN n_regionkey <> 4 THEN lpad(n_regionkey::VARCHAR, 5, '0') END AS cbsa_code FROM card LEFT JOIN nation ON lpad(n_nationkey::VARCHAR, 5, '0') = county_fips),
+b AS (SELECT * FROM m WHERE cbsa_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cbsa_code, assessment_year ORDER BY total_applications DESC, risk_id) = 1),
+q AS (SELECT lpad(n_regionkey::VARCHAR, 5, '0') AS cbsa_code, lpad(n_nationkey::VARCHAR, 5, '0') AS county_fips, 1996 AS assessment_year FROM nation)
+SELECT q.*, coalesce(b.risk_id, c.risk_id) AS risk_id, coalesce(b.risk_tier, c.risk_tier) AS risk_tier, CASE WHEN b.risk_id IS NOT NULL THEN 'metro' WHEN c.risk_id IS NOT NULL THEN 'county' END AS answered_by
+FROM q LEFT JOIN b USING (cbsa_code, assessment_year) LEFT JOIN card c ON c.county_fips = q.county_fips AND c.assessment_year = q.assessment_year""")
+def hmda_risk(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "nation").select(county("n_regionkey").alias("cbsa_code"), county("n_nationkey").alias("county_fips"), F.lit(1996).alias("assessment_year"))
+    return questions.get_hmda_risk(requests, card_with_metro(spark, d), ["risk_id", "risk_tier"])
+
+
+# ---- counts, checks and flags -----------------------------------------------------------------------------------
+
+
+@query("SELECT count(DISTINCT c_nationkey) AS n_areas FROM customer")
+def distinct_areas(spark: SparkSession, d: str) -> DataFrame:
+    return collapse.distinct_areas(table(spark, d, "customer"), "c_nationkey")
+
+
+@query("SELECT o_custkey, o_clerk_first AS first_clerk, o_prio AS first_priority FROM (SELECT o_custkey, arg_min(o_orderkey, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0) AS o_clerk_first, arg_min(o_orderstatus, o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS o_prio FROM orders GROUP BY 1)")
+def first_known_values(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")).alias("first_clerk"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("first_priority"))
+    return keep.first_values(o, ["o_custkey"], ["o_orderkey"], ["first_clerk", "first_priority"])
+
+
+@query("SELECT s_suppkey, s_nationkey AS county, n_name AS county_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 2 = 0")
+def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").filter("n_nationkey % 2 = 0")
+    twice = n.unionByName(n.withColumn("n_name", F.lit("")))  # a dimension with two rows an id
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("county"))
+    return risk.lookup(s, risk.dimension(twice, "n_nationkey", "n_name"), "county", "n_nationkey", "n_name").select("s_suppkey", "county", F.col("n_name").alias("county_name"))
+
+
+@query("""WITH o AS (SELECT c_custkey, c_nationkey AS a, c_acctbal AS b FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN -1 END::BIGINT AS a, c_acctbal + 1 AS b FROM customer WHERE c_custkey % 5 <> 0)
+SELECT c_custkey, coalesce(n.a, o.a)::BIGINT AS a, round(coalesce(n.b, o.b), 4) AS b FROM o FULL JOIN n USING (c_custkey)""")
+def upsert_coalesced(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a"), F.col("c_acctbal").alias("b"))
+    new = c.filter("c_custkey % 5 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lit(-1).cast("long")).alias("a"), (F.col("b") + 1).alias("b"))
+    return snapshots.upsert_coalesce(c.filter("c_custkey % 3 <> 0"), new, ["c_custkey"]).withColumn("b", F.round("b", 4))
 
 
 # ---- text -------------------------------------------------------------------------------------------------------
 
 
 def _term_sql() -> str:
-    text, fired = "text", []
-    for pattern, replacement, label in X.TERM_RULES:
-        fired.append(f"CASE WHEN regexp_matches({text}, '{pattern}') THEN '{label}' END")
-        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
-    return f"""SELECT doc_id, md5({text}) AS text_md5, array_to_string(list_filter([{", ".join(fired)}], lambda x: x IS NOT NULL), ';') AS rules, nullif(regexp_extract(text, '\\b(20[0-9]{{2}})\\b', 1), '')::INTEGER AS year, regexp_matches(text, '(?i)\\b(?:[0-9]{{11}}|fips|tract|county|state|cbsa|msa|city)\\b') AS has_place, contains(text, 'License') AS stated FROM documents"""
+    steps, fired = ["t0 AS (SELECT doc_id, text, text AS x FROM documents)"], []
+    for i, (pattern, replacement, label) in enumerate(X.TERM_RULES):
+        fired.append(f"CASE WHEN f{i} THEN '{label}' END")
+        steps.append(f"t{i + 1} AS (SELECT * REPLACE (regexp_replace(x, '{pattern}', '{replacement}', 'g') AS x), regexp_matches(x, '{pattern}') AS f{i} FROM t{i})")
+    return f"""WITH {", ".join(steps)} SELECT doc_id, md5(x) AS text_md5, array_to_string(list_filter([{", ".join(fired)}], lambda x: x IS NOT NULL), ';') AS rules, nullif(regexp_extract(text, '\\b(20[0-9]{{2}})\\b', 1), '')::INTEGER AS year, regexp_matches(text, '(?i)\\b(?:[0-9]{{11}}|fips|tract|county|state|cbsa|msa|city)\\b') AS has_place, contains(text, 'License') AS stated FROM t{len(X.TERM_RULES)}"""
 
 
 @query(_term_sql())
 def normalize_terms(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    new, rules = X.normalise_terms(t)
-    return table(spark, d, "documents").select("doc_id", F.md5(new).alias("text_md5"), F.array_join(rules, ";").alias("rules"), X.year_in(t).alias("year"), X.has_place(t).alias("has_place"), X.stated(F.lit("License"), t).alias("stated"))
+    done = table(spark, d, "documents").select("doc_id", "text", X.normalise_terms(t).alias("terms"))
+    return done.select("doc_id", F.md5("terms.text").alias("text_md5"), F.array_join("terms.labels", ";").alias("rules"), X.year_in(t).alias("year"), X.has_place(t).alias("has_place"), X.stated(F.lit("License"), t).alias("stated"))
 
 
 @query("""SELECT s_suppkey, 'Los Area' || s_nationkey || ', AZ MSA' AS metro, 'los area ' || s_nationkey AS camel, 'losarea' || s_nationkey AS name_key, s_suppkey % 5 < 2 AS is_noise, CASE s_suppkey % 3 WHEN 0 THEN 'ELI' WHEN 1 THEN 'VLI' ELSE 'LI' END AS program, CASE s_suppkey % 3 WHEN 0 THEN 30 WHEN 1 THEN 50 ELSE 80 END::INTEGER AS ami_pct FROM supplier""")

@@ -42,10 +42,13 @@ def read_with_header(spark: SparkSession, path: str, sep: str = ",", strip: bool
 
 
 def read_key_values(spark: SparkSession, path: str, key_at: int, value_at: int, least_fields: int = 14) -> DataFrame:
-    """(key, value, line_no) of a pipe file with a header: lines with enough fields and both values; the order of
-    line_no is that of the file, for keep_last."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.split("value", r"\|", -1).alias("p"))
-    body = rows.filter((F.col("line_no") > 0) & (F.size("p") >= least_fields))
+    """(key, value, line_no) of pipe files with a header: lines with enough fields and both values. line_no is a struct in
+    the order of file name, block and line, for keep_last. Lines that equal the first header are no rows in any file."""
+    text = spark.read.text(path)
+    first = text.first()
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    rows = text.filter(F.col("value") != (first[0] if first else "")).select(place.alias("line_no"), F.split("value", r"\|", -1).alias("p"))
+    body = rows.filter(F.size("p") >= least_fields)
     out = body.select(F.trim(F.col("p")[key_at]).alias("key"), F.trim(F.col("p")[value_at]).alias("value"), "line_no")
     return out.filter("key <> '' and value <> ''")
 

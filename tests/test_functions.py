@@ -66,9 +66,9 @@ def test_risk_score_weights(spark):
 
 
 def test_text_rules(spark):
-    text, fired = X.normalise_terms(F.col("v"), [*X.TERM_RULES, *X.relative_years(2026)])
+    terms = X.normalise_terms(F.col("v"), [*X.TERM_RULES, *X.relative_years(2026)])
     df = spark.createDataFrame([("a QCT with 60 % AMI this year",), (None,)], "v string")
-    rows = df.select(text, fired).collect()
+    rows = df.select(terms.alias("t")).select("t.text", "t.labels").collect()
     assert rows[0][0] == "a Qualified Census Tract (QCT) with 50% AMI (program VLI, rent x1.2) year 2026" and rows[0][1] == ["60% AMI", "QCT", "this year"]
     assert column(spark, ["in 01001020700 of 2025", "none"], "string", X.tract_code) == ["01001020700", None]
     assert column(spark, ["ABC and XYZZ, ABC"], "string", lambda c: X.unknown_acronyms(c, ["XYZZ"])) == [["ABC"]]
