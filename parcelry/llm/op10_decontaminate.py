@@ -124,7 +124,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """doc_id, item_id, first_word, matched, compared: each row of docs with each benchmark text that it overlaps.
 
     Items of the same words are one, under their least id. Null and empty texts and items overlap with nothing; an
-    item under SPAN words must appear whole. Repeated rows are rows of their own; other columns are ignored.
+    item under SPAN words must appear whole. Very long texts are compared whole. Repeated rows are rows of their own;
+    other columns are ignored. Empty tables: empty.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type, item_type = rows.schema["doc_id"].dataType, benchmark.schema[item_col].dataType

@@ -9,7 +9,6 @@ A maximal stretch of such windows is a span.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -164,7 +163,8 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, found: array of (kind, start, end) in code points, end exclusive, for every row of docs.
 
-    Null and empty texts find nothing. Repeated rows are rows of their own; other columns are ignored.
+    Null and empty texts find nothing. Very long texts are scanned whole. Repeated rows are rows of their own; other
+    columns are ignored. Empty table: empty.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,6 +187,3 @@ def op2_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("found", one), ",").alias("spans"), count("entropy"))
 
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans if k < 3).encode()).hexdigest()

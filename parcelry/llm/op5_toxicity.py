@@ -221,7 +221,8 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS
         alike = np.concatenate([kernel.values(clean[i : i + 1000]).max(axis=1) for i in range(0, len(clean), 1000)])
         first = len(chosen)
         return chosen + [clean[i] for i in np.lexsort((np.arange(len(clean)), -alike))[: count - first]], first
-    return chosen or ["toxic"], max(len(chosen), 1)
+    known = chosen or sorted(strength, key=lambda w: (-strength[w], w))[:1] or clean[:1] or ["none"]
+    return known, len(known)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -308,7 +309,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """A model of the labelled rows that are not held out: at most `rows`, half of each class where there are as many,
-    texts of at most `chars` characters, chosen by a hash of the id."""
+    texts of at most `chars` characters, chosen by a hash of the id; at most `rows` texts reach the driver."""
     marked = labels.filter(~held_out(id_col)).filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.groupBy("label_id").agg(F.max("y").alias("y"))
     picks = None
@@ -316,7 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         one = marked.filter(F.col("y") == y).orderBy(F.md5(F.col("label_id").cast("string"))).limit(rows // 2)
         picks = one if picks is None else picks.unionByName(one)
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.char_length("text") <= chars)
-    found = known.join(F.broadcast(picks), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").collect()
+    # one text of each labelled id, the least, however many rows repeat it
+    found = known.join(F.broadcast(picks), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     found = sorted({(r["text"], r["y"]) for r in found})
     return fit([t for t, _ in found], np.array([y for _, y in found], np.int64))
 
@@ -337,8 +339,8 @@ def _scores(model: Model, column: pa.Array, reader: Reader) -> np.ndarray:
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score for every row of docs; only the text counts.
 
-    Null and empty texts get the score of a text without any near word. Repeated rows score alike. Other columns
-    are ignored. Empty table: empty.
+    Null and empty texts get the score of a text without any near word. Very long texts are read whole. Repeated rows
+    score alike. Other columns are ignored. Empty table: empty.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     shared = rows.sparkSession.sparkContext.broadcast(model)

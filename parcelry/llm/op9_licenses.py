@@ -68,8 +68,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, dice:
     `dice` with some template), license and score of the best hit (ties: the smaller name), for every row of docs.
 
     Null and empty texts have no lines: zeros, and null license and score. Templates without a bigram are an error.
-    Repeated rows are rows of their own; other columns are ignored. The templates are literals of the plan: a
-    parameter of bounded size, not data.
+    Very long texts are scanned whole. Repeated rows are rows of their own; other columns are ignored. Empty table:
+    empty. The templates are literals of the plan: a parameter of bounded size, not data.
     """
     chosen = templates or TEMPLATES
     sets = {k: bigrams_of(v) for k, v in chosen.items()}

@@ -3,7 +3,10 @@
     {{ expression }}   {% if a %} {% elif b %} {% else %} {% endif %}   {% for x in items %} {% endfor %}
     {% set name = expression %}   {% generation %} {% endgeneration %}   {# comment #}
 
-Expressions: strings, integers, true, false, none, names, a.key and a['key'] (mappings only), loop.first / last /
+A minus inside a mark ({{- -}}, {%- -%}, {#- -#}) strips the white space of the text on that side. Marks inside the
+strings of an expression do not end it.
+
+Expressions: strings, integers, true, false, none, names, a.key and a['key'] (mappings), a[0] (lists), loop.first / last /
 index0 / index, + == != < <= > >= in, not, and, or, parentheses, and filters after a bar. There are no calls and no
 attributes of Python objects, so a template reaches nothing but its variables. Unknown names are an error.
 """
@@ -14,7 +17,8 @@ import re
 from collections.abc import Callable, Mapping
 from typing import Any
 
-_PART = re.compile(r"\{\{(.*?)\}\}|\{%-?\s*(.*?)\s*-?%\}|\{#.*?#\}", re.S)
+_STRING = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_PART = re.compile(rf"\{{\{{(-?)((?:{_STRING}|(?!-?\}}\}}).)*)(-?)\}}\}}|\{{%(-?)\s*((?:{_STRING}|(?!\s*-?%\}}).)*)\s*(-?)%\}}|\{{\#(-?).*?(-?)\#\}}", re.S)
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+<>|.\[\]()=]))")
 _FILTERS: dict[str, Callable[[Any], Any]] = {
     "trim": lambda v: str(v).strip(),
@@ -147,16 +151,23 @@ def parse(source: str, filters: Mapping[str, Callable] | None = None) -> tuple:
     def expression(text: str):
         return _Expressions(text, known).whole()
 
+    strip = False  # whether the mark before asks to strip the text that follows
+
+    def text(part: str, before: bool, after: bool) -> None:
+        part = part.lstrip() if before else part
+        part = part.rstrip() if after else part
+        if part:
+            stack[-1][1].append(("text", part))
+
     for m in _PART.finditer(source):
-        if m.start() > at:
-            stack[-1][1].append(("text", source[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            stack[-1][1].append(("show", expression(m[1])))
+        text(source[at : m.start()], strip, bool(m[1] or m[4] or m[7]))
+        at, strip = m.end(), bool(m[3] or m[6] or m[8])
+        if m[2] is not None:
+            stack[-1][1].append(("show", expression(m[2])))
             continue
-        if m[2] is None:
+        if m[5] is None:
             continue
-        word, _, rest = m[2].partition(" ")
+        word, _, rest = m[5].partition(" ")
         if word == "if":
             stack.append(("if", [], [("when", expression(rest))]))
         elif word in ("elif", "else"):
@@ -190,8 +201,7 @@ def parse(source: str, filters: Mapping[str, Callable] | None = None) -> tuple:
             stack[-1][1].append(node)
         else:
             raise TemplateError(f"unknown statement {word!r}")
-    if source[at:]:
-        stack[-1][1].append(("text", source[at:]))
+    text(source[at:], strip, False)
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]} is not closed")
     return ("block", stack[0][1])
@@ -342,10 +352,14 @@ def _value(node, known) -> Callable[[dict], Any]:
         a, b = _value(node[1], known), _value(node[2], known)
 
         def get(v):
-            x = a(v)
+            x, k = a(v), b(v)
+            if isinstance(x, (list, tuple)) and isinstance(k, int):
+                if not -len(x) <= k < len(x):
+                    raise TemplateError(f"no item {k}")
+                return x[k]
             if not isinstance(x, Mapping):
-                raise TemplateError("only mappings have keys")
-            return x.get(b(v))
+                raise TemplateError("only mappings have keys, and lists numbers")
+            return x.get(k)
 
         return get
     if kind == "filter":

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -213,6 +214,11 @@ def test_template_language():
     assert run("{% set y = 'a' + x %}{{ y }}{# gone #}", x="b") == "ab"
     assert run("{% if x == 1 and 'a' in 'abc' %}1{% elif x > 1 %}2{% else %}3{% endif %}", x=2) == "2"
     assert template.fold(template.parse("{% if 1 == 2 %}a{% else %}{{ 'b' + 'c' | upper }}{% endif %}d")) == ("block", [("text", "bCd")])
+    assert run("a \n {%- if true -%} \n b {{- x -}} c {#- gone -#}  d {% endif %} e", x="X") == "abXcd  e"
+    assert run("{{ '}}' + \"%}\" }}{% if x == '%}' %}!{% endif %}", x="%}") == "}}%}!"
+    assert run("{{ xs[0].a }}{{ xs[1]['a'] }}", xs=[{"a": "p"}, {"a": "q"}]) == "pq"
+    with pytest.raises(template.TemplateError):
+        run("{{ xs[5] }}", xs=[1])
     for bad in ("{{ x() }}", "{% for %}", "{% if x %}", "{{ x | nope }}", "{% endfor %}", "{{ 'a' 'b' }}"):
         with pytest.raises(template.TemplateError):
             template.parse(bad)
@@ -336,6 +342,32 @@ def test_toxicity_of_rows(spark):
     assert op5_toxicity.toxicity_scores(frame(spark, []), model).count() == 0
 
 
+def test_few_texts_reach_the_driver(spark, monkeypatch):
+    """A labelled id that many rows repeat gives one text, and no more than the drawn rows are collected."""
+    seen = []
+    monkeypatch.setattr(op5_toxicity, "fit", lambda texts, toxic: seen.append(len(texts)))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:20]
+    docs = frame(spark, [(ids[0], f"text {i}", "s") for i in range(500)] + [(i, f"text of {i}", "s") for i in ids[1:]])
+    op5_toxicity.train(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int"), rows=4)
+    assert 0 < seen[0] <= 4
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "s"), (2, "", "s"), (3, "one word " * 20_000, "s")]])
+def test_empty_null_and_very_long(spark, rows):
+    """Every operator on an empty table, on null and empty texts and on a very long one."""
+    docs = frame(spark, rows)
+    model = op5_toxicity.fit(["bad insult here. fine", "all is well"], np.array([1, 0]))
+    items = spark.createDataFrame([(1, "some other words of an item"), (2, None), (3, "")], "item_id long, text string")
+    n = len(rows)
+    assert op2_secrets.secret_scan(docs).filter("size(found) > 0").count() == 0 and op2_secrets.secret_scan(docs).count() == n
+    assert op5_toxicity.toxicity_scores(docs, model).filter("score between 0 and 1").count() == n
+    assert op5_toxicity.without_toxic(docs, model).columns == docs.columns
+    assert op9_licenses.license_scan(docs).filter("n_hits = 0").count() == n
+    assert op10_decontaminate.overlaps(docs, items).count() == 0 and op10_decontaminate.decontaminate(docs, items).count() == n
+    assert op10_decontaminate.decontaminate(docs, items.limit(0)).count() == n
+    assert op8_fair_mix.fair_mix(docs).count() == n and op1_stupid_backoff.backoff_scores(docs).count() == n
+
+
 # ---- 6 ----------------------------------------------------------------------------------------------------------
 
 
