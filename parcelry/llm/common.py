@@ -87,13 +87,14 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list, value:
     Only the rows of one bucket meet in one task, so a hot key is spread over its buckets; the sums of the buckets
     (one row each) give the offsets. Rows that tie in `order` are taken in any order.
     """
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__sum"))
+    total, inner, before, at, *own = fresh(df.withColumn(out, F.lit(0)), "total", "inner", "before", "at", *[f"k{i}" for i in range(len(keys))])
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias(total))
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("__rb"), F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__before"))
+    sums = sums.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(bucket).alias(at), F.coalesce(F.sum(total).over(w), F.lit(0)).alias(before))
     here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = df.withColumn("__within", F.coalesce(F.sum(value).over(here), F.lit(0)))
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col(bucket) == F.col("__rb")]
-    return within.join(sums, on, "left").withColumn(out, F.col("__within") + F.col("__before")).drop("__within", "__before", "__rb", *[f"__k{i}" for i in range(len(keys))])
+    within = df.withColumn(inner, F.coalesce(F.sum(value).over(here), F.lit(0)))
+    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)] + [F.col(bucket) == F.col(at)]
+    return within.join(sums, on, "left").withColumn(out, F.col(inner) + F.col(before)).drop(inner, before, at, *own)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, least: int = 256, most: int = 4096) -> DataFrame:

@@ -121,7 +121,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     found = cut(fair_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col))
     sources = found.select("source").distinct()
-    key, mark, s, last, again, n = fresh(docs, "key", "mark", "s", "last", "again", "n")
+    key, mark, s, last, again, n, us, uk, ut = fresh(docs, "key", "mark", "s", "last", "again", "n", "us", "uk", "ut")
     ends = []
     for e in range(1, CAP + 1):
         end = found.filter(F.col("copies") >= e).groupBy("source").agg(F.max("key").alias(f"k{e}"))
@@ -132,7 +132,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     bounds = cut(bounds.select(s, F.array(*[F.col(f"k{e}") for e in range(1, CAP + 1)]).alias(last)))
     # keys of the last items whose rows repeat, where some are taken more often than others
     uneven = found.groupBy("source", "key").agg(F.count("*").alias("rows"), *[F.sum((F.col("copies") >= e).cast("long")).alias(f"t{e}") for e in range(1, CAP + 1)], F.min("copies").alias("lo"), F.max("copies").alias("hi"))
-    uneven = cut(uneven.filter("rows > 1 and lo < hi").select(F.col("source").alias("us"), F.col("key").alias("uk"), F.array(*[F.col(f"t{e}") for e in range(1, CAP + 1)]).alias("ut")))
+    uneven = cut(uneven.filter("rows > 1 and lo < hi").select(F.col("source").alias(us), F.col("key").alias(uk), F.array(*[F.col(f"t{e}") for e in range(1, CAP + 1)]).alias(ut)))
     keyed = docs.withColumn(key, _shuffled(id_col, text_col))
     keyed = keyed.join(F.broadcast(bounds) if bounds.count() <= 100_000 else bounds, F.col(source_col).eqNullSafe(F.col(s)))
     times = sum((F.when(F.col(key) <= F.col(last)[e], 1).otherwise(0) for e in range(CAP)), F.lit(0))
@@ -142,11 +142,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     if uneven.isEmpty():
         return some.withColumn(n, times).filter(F.col(n) > 0).withColumn(again, repeated(F.col(n))).select(docs.columns)
     # at most CAP keys of a source are uneven
-    some = some.join(F.broadcast(uneven) if bounds.count() <= 100_000 else uneven, F.col(source_col).eqNullSafe(F.col("us")) & (F.col(key) == F.col("uk")), "left")
-    even = some.filter(F.col("uk").isNull()).withColumn(n, times)
-    odd = cut(some.filter(F.col("uk").isNotNull()).withColumn(mark, F.lit(1).cast("long")))
+    some = some.join(F.broadcast(uneven) if bounds.count() <= 100_000 else uneven, F.col(source_col).eqNullSafe(F.col(us)) & (F.col(key) == F.col(uk)), "left")
+    even = some.filter(F.col(uk).isNull()).withColumn(n, times)
+    odd = cut(some.filter(F.col(uk).isNotNull()).withColumn(mark, F.lit(1).cast("long")))
     odd = odd.withColumn(again, F.monotonically_increasing_id()).withColumn(last, F.shiftright(F.col(again), 33))
-    odd = running_sum(odd, [key], last, [F.col(again)], mark, n).withColumn(n, sum((F.when(F.col(n) < F.col("ut")[e], 1).otherwise(0) for e in range(CAP)), F.lit(0)))
+    odd = running_sum(odd, [key], last, [F.col(again)], mark, n).withColumn(n, sum((F.when(F.col(n) < F.col(ut)[e], 1).otherwise(0) for e in range(CAP)), F.lit(0)))
     out = even.select(*docs.columns, n).unionByName(odd.select(*docs.columns, n))
     return out.filter(F.col(n) > 0).withColumn(again, repeated(F.col(n))).select(docs.columns)
 
