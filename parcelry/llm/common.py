@@ -49,7 +49,7 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str | None = None, how: str = "left", least: int = 256, most: int = 4096) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str | None = None, how: str = "left", least: int = 2048, most: int = 4096) -> DataFrame:
     """rows joined (left or inner) with table on keys, which are unique in table; rows with a null key match nothing.
     If a column of table holds the number of rows of its key already, `size` names it.
 
@@ -65,8 +65,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str | None
     total = counts.agg(F.sum(n)).first()[0] or 0
     hot = counts.filter(n > max(least, total // most))
     hot = hot if size else hot.drop("__rows").join(table, keys)
-    if hot.isEmpty() and how == "inner":
-        return rows.join(table, keys).select(*rows.columns, *new)
+    if hot.isEmpty():
+        return rows.join(table, keys, how).select(*rows.columns, *new)
     hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
     if how == "inner":
         rest = rows.join(hot.select(*keys), keys, "left_anti").join(table, keys).select(*rows.columns, *new)
@@ -87,17 +87,19 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list, value:
     Only the rows of one bucket meet in one task, so a hot key is spread over its buckets; the sums of the buckets
     (one row each) give the offsets. Rows that tie in `order` are taken in any order.
     """
-    total, inner, before, at, *own = fresh(df.withColumn(out, F.lit(0)), "total", "inner", "before", "at", *[f"k{i}" for i in range(len(keys))])
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias(total))
-    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(bucket).alias(at), F.coalesce(F.sum(total).over(w), F.lit(0)).alias(before))
-    here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = df.withColumn(inner, F.coalesce(F.sum(value).over(here), F.lit(0)))
-    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)] + [F.col(bucket) == F.col(at)]
-    return within.join(sums, on, "left").withColumn(out, F.col(inner) + F.col(before)).drop(inner, before, at, *own)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, least: int = 256, most: int = 4096) -> DataFrame:
+    total, inner, before, at, key, own = fresh(df.withColumn(out, F.lit(0)), "total", "inner", "before", "at", "key", "own")
+    # keys as a struct: two structs of null fields are equal, so the join is a plain one and uses the window's partitioning
+    keyed = df.withColumn(key, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    sums = keyed.groupBy(key, bucket).agg(F.sum(value).alias(total))
+    w = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(key).alias(own), F.col(bucket).alias(at), F.coalesce(F.sum(total).over(w), F.lit(0)).alias(before))
+    here = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = keyed.withColumn(inner, F.coalesce(F.sum(value).over(here), F.lit(0)))
+    joined = within.join(sums, (F.col(key) == F.col(own)) & (F.col(bucket) == F.col(at)), "left")
+    return joined.withColumn(out, F.col(inner) + F.col(before)).drop(inner, before, at, key, own)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, least: int = 2048, most: int = 4096) -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node id reachable.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), each an aggregation and a join; the edge
@@ -105,15 +107,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     over max(least, edges / most) edges, so at most 2 * most of them) get their minimum by broadcast, and their edges
     stay where they are.
     """
-    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int, hub: int) -> DataFrame:
         both = e.select(F.col("u"), F.col("v"))
         if large:
             both = both.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
-        hot = F.col("n") > max(least, n // most)
+        bound = max(least, n // most)
+        hot = F.col("n") > bound
+        if hub <= bound:
+            return ended(both.join(low, F.col("u") == F.col("k")), large)
         first = both.join(F.broadcast(low.filter(hot)), F.col("u") == F.col("k"), "left")
         rest = first.filter("k is null").select("u", "v").join(low.filter(~hot), F.col("u") == F.col("k"))
-        joined = first.filter("k is not null").unionByName(rest)
+        return ended(first.filter("k is not null").unionByName(rest), large)
+
+    def ended(joined: DataFrame, large: bool) -> DataFrame:
         if large:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -122,16 +129,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     base = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null").distinct())
     e = base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    seen, n = None, base.count()
+    seen = None
     for _ in range(rounds):
-        if not n:
-            break
-        e = cut(star(star(e, True, n), False, n))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        n = now[0]
-        if tuple(now) == seen:
+        by_low = e.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        n, h, hub = by_low.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if not n or (n, h) == seen:
             break
-        seen = tuple(now)
+        seen = (n, h)
+        e = cut(star(star(e, True, n, hub), False, n, hub))
     else:
         raise RuntimeError("components did not converge")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

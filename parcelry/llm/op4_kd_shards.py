@@ -49,8 +49,8 @@ class _Cut:
     found: tuple | None = None
 
 
-def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """size (UTF-8 bytes plus 1; null text: 1), CRC, dimensions and tie-breakers, and the columns of docs as _c0, _c1 and so on."""
+def _points(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """size (UTF-8 bytes plus 1; null text: 1), CRC, dimensions and tie-breakers, and the columns to keep as _c0, _c1 and so on."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, chars = F.octet_length(text).cast("long") + 1, F.char_length(text)
     unit = lambda c: F.shiftrightunsigned(c, 12).cast("double")  # noqa: E731  exact in a double
@@ -59,27 +59,27 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.log2(size.cast("double")).alias("d_size"), (size / (chars + 1)).alias("d_width"), (chars / (spaces + 1)).cast("double").alias("d_word"),
         unit(F.xxhash64(text)).alias("t_text"), unit(F.xxhash64(F.col(id_col), F.lit(7))).alias("t_doc"), unit(F.xxhash64(F.monotonically_increasing_id())).alias("t_row"), F.lit(0).cast("long").alias("node"),
-        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)],
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)],
     )
 
 
-def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = ("size", "text_crc32", "shard", "slot")) -> DataFrame:
-    """docs with size, text_crc32, shard and slot (gapless from 0 in each shard) for every row.
+def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, ...] = ("size", "text_crc32", "shard", "slot")) -> DataFrame:
+    """docs (or its columns in `keep`) with size, text_crc32, shard and slot (gapless from 0 in each shard) for every row.
 
     Either the number of shards or the bytes a shard should hold. Sizes are near equal unless single documents are as
     large as shards. Equal texts share a shard unless no shard can hold them beside its even share. Null texts count as
     empty, null ids as one id; repeated rows are rows of their own; very long texts are points like others. New
     columns whose name docs has already get an underscore at the end. Empty table: empty.
     """
-    own = fresh(docs, *names)
-    points = cut(_points(docs, id_col, text_col))
-    shard = _shards(points, n_shards, target_bytes)
-    placed = cut(shard.select("size", "text_crc32", "shard", "t_row", *[c for c in points.columns if c.startswith("_c")]))
+    keep = docs.columns if keep is None else keep
+    own = fresh(docs.select(*[f"`{c}`" for c in keep]), *names)
+    points = cut(_points(docs, id_col, text_col, keep))
+    placed = _shards(points, n_shards, target_bytes).select("size", "text_crc32", "shard", "t_row", *[f"_c{i}" for i in range(len(keep))])
     # rows of a shard are numbered bucket by bucket; buckets are by row, so copies of one row are spread too
-    n = blocks(placed.count(), 20_000, 64)
+    n = blocks(points.count(), 20_000, 64)
     one = placed.withColumn("bucket", F.pmod(F.xxhash64("t_row"), F.lit(n))).withColumn("one", F.lit(1).cast("long"))
     slots = running_sum(one, ["shard"], "bucket", [F.col("t_row")], "one", "slot")
-    return slots.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], *[F.col(c).alias(o) for c, o in zip(("size", "text_crc32", "shard", "slot"), own, strict=True)])
+    return slots.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(o) for c, o in zip(("size", "text_crc32", "shard", "slot"), own, strict=True)])
 
 
 def _shards(points: DataFrame, n_shards: int | None, target_bytes: int | None) -> DataFrame:
@@ -197,5 +197,5 @@ def _descend(tree: DataFrame, cuts: list[_Cut]) -> DataFrame:
 
 def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 under the law `bytes`."""
-    sharded = kd_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8)
+    sharded = kd_shards(read(spark, sf_dir, "documents"), n_shards=8, keep=["doc_id"])
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))

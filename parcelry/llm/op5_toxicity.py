@@ -93,7 +93,7 @@ class Kernel:
         self.codes, column = np.unique(code, return_inverse=True)
         self.matrix = np.zeros((len(self.codes), len(landmarks)), np.float32)
         np.add.at(self.matrix, (column, owner), weight)
-        self.matrix /= np.linalg.norm(self.matrix, axis=0, keepdims=True) + 1e-12
+        self.matrix /= np.sqrt(np.einsum("ij,ij->j", self.matrix, self.matrix))[None, :] + np.float32(1e-12)
         # for each code, the most any of the first landmarks has of it: bounds a word's largest value from above
         self.table = np.zeros(1 << _TABLE_BITS, np.float32)
         np.maximum.at(self.table, self.codes >> np.uint64(64 - _TABLE_BITS), self.matrix[:, : self.first].max(axis=1))
@@ -209,7 +209,9 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS
     strong = [w for w in sorted(strength, key=lambda w: (-strength[w], w)) if strength[w] > sure][:most]
     chosen: list[str] = []
     if strong:
-        near = Kernel(strong).values(strong)
+        kernel = Kernel(strong)
+        near = np.vstack([kernel.values(strong[i : i + 25]) for i in range(0, len(strong), 25)])  # a few rows at a time: they are wide
+        del kernel
         left = np.ones(len(strong), bool)
         for i, w in enumerate(strong):
             if left[i] and len(chosen) < count * 2 // 3:
@@ -218,7 +220,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS
     clean = sorted(w for w, c in words[0].items() if c >= 2 and w not in strength)
     if chosen and clean:
         kernel = Kernel(chosen)
-        alike = np.concatenate([kernel.values(clean[i : i + 1000]).max(axis=1) for i in range(0, len(clean), 1000)])
+        alike = np.concatenate([kernel.values(clean[i : i + 200]).max(axis=1) for i in range(0, len(clean), 200)])
         first = len(chosen)
         return chosen + [clean[i] for i in np.lexsort((np.arange(len(clean)), -alike))[: count - first]], first
     known = chosen or sorted(strength, key=lambda w: (-strength[w], w))[:1] or clean[:1] or ["none"]

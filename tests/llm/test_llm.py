@@ -88,6 +88,32 @@ def test_running_sum_and_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_and_hubs(spark):
+    """Hot keys and hubs go by broadcast, with the same result."""
+    rows = spark.createDataFrame([(i % 3 or None, i) for i in range(90)] + [(7, 100 + i) for i in range(60)], "k int, v int")
+    table = spark.createDataFrame([(1, "a"), (7, "b"), (9, "c")], "k int, t string")
+    for least in (5, 1000):
+        got = common.lookup(rows, table, ["k"], least=least).collect()
+        assert sum(r[2] is None for r in got if r[0] is None) == 30 and sum(r[2] == "b" for r in got if r[0] == 7) == 60
+        assert common.lookup(rows, table, ["k"], how="inner", least=least).count() == 90
+        assert common.lookup(rows, table, ["k"], least=least).count() == 150
+    star = spark.createDataFrame([(1, i) for i in range(2, 300)] + [(500, 299), (500, 501)], "a long, b long")
+    for least in (20, 10_000):
+        assert {tuple(r) for r in common.connected_components(star, least=least).collect()} == {(i, 1) for i in [*range(1, 300), 500, 501]}
+
+
+def test_running_sum_shuffles_rows_once(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "id % 5 as b", "id", "1L as v")
+    out = common.running_sum(df, ["k"], "b", [F.col("id")], "v", "r")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = common.running_sum(df, ["k"], "b", [F.col("id")], "v", "r")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(wide) <= 4 and out.count() == 1000
+
+
 def test_bitmap_split(spark):
     df = spark.createDataFrame([(i,) for i in range(500)] + [(None,)], "x long")
     ids = spark.createDataFrame([(3,), (None,), (77,)], "i long")
