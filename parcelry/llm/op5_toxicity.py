@@ -3,10 +3,16 @@
 The kernel of two words is that of their subsequences of LENGTH characters whose neighbours are at most GAP apart,
 each weighted by DECAY to the power of its span (Lodhi et al. 2002, with bounded gaps), normalised. A word begins
 with a boundary character, so stems weigh more than endings; skipped characters only weaken a match, so gapped and
-inserted-character forms stay near. Single letters in a row are read as one word. A sentence is described by its
-nearest word to each landmark word, in the Nystroem map of the landmarks; a linear machine on that map is trained on
-sentences of labelled documents (those of clean documents; of each toxic document those that hold a toxic landmark
-nearly as it is, and the sentence that scores highest, chosen anew in each round). A document's score is that of its most toxic sentence, as a probability.
+inserted-character forms stay near. Single letters in a row are read as one word. Landmarks are words and stems (a
+word's first letters, so the forms of a stem are counted together). Two machines use their Nystroem map:
+
+- that of sentences: a sentence is described by its nearest word to each landmark. It is trained on sentences of labelled
+  documents (those of clean documents; of each toxic document those that hold a toxic landmark nearly as it is, and the
+  sentence that scores highest, chosen anew in each round); a document has the margin of its most toxic sentence.
+- that of whole texts: the kernel of a text and a landmark is the mean over the text's words (a convolution kernel), which
+  tells texts that use a stem densely from those that hold it by chance.
+
+A document's score is the probability that a logistic function of both margins gives.
 
 Landmarks and machine are fitted on the driver to a sample of at most TRAIN_ROWS labelled documents (TRAIN_CHARS
 characters each at most); everything else covers all rows and whole texts.
@@ -28,6 +34,8 @@ from .common import read
 
 LENGTH, GAP, DECAY = 4, 3, 0.7
 LANDMARKS, TRAIN_ROWS, TRAIN_CHARS = 96, 4000, 20_000
+#: Letters of a stem; means over a text count SCALE times and as if it had SPARE words more, which are near nothing.
+STEM, SCALE, SPARE = range(4, 9), 30.0, 20
 #: Kernel values below this count as 0; words that reach it with no toxic landmark are not looked at again.
 FLOOR = 0.2
 _TABLE_BITS = 22
@@ -128,19 +136,23 @@ class Kernel:
 
 
 class Model:
-    """Landmarks, Nystroem map, machine and calibration."""
+    """Landmarks, Nystroem map, the machines (weights, bias) of sentences and of texts, and the logistic function of their margins."""
 
-    def __init__(self, kernel: Kernel, root: np.ndarray, w: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.kernel, self.w, self.bias, self.slope, self.shift = kernel, root @ w, bias, slope, shift
+    def __init__(self, kernel: Kernel, root: np.ndarray, sentence: tuple[np.ndarray, float], whole: tuple[np.ndarray, float], logistic: tuple[float, float, float]):
+        self.kernel, self.logistic = kernel, np.array(logistic)
+        (w, self.bias), (v, self.whole_bias) = sentence, whole
+        self.w, self.v = root @ w, root @ v
 
     def probabilities(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(margins @ self.logistic[:2] + self.logistic[2], -50, 50)))
 
     def margins(self, texts: list[str], reader: Reader | None = None) -> np.ndarray:
-        """The largest margin of each text's sentences; a text without a near word has that of an empty one."""
-        out = np.full(len(texts), self.bias)
-        for t, values in zip(*(reader or Reader(self.kernel)).sentences(texts), strict=True):
-            out[t] = max(out[t], float(values @ self.w) + self.bias)
+        """A row per text: the largest margin of its sentences (without a near word: that of an empty one), and its own."""
+        owners, rows, means = (reader or Reader(self.kernel)).read(texts)
+        out = np.empty((len(texts), 2))
+        out[:, 0], out[:, 1] = self.bias, means @ self.v + self.whole_bias
+        if rows:
+            np.maximum.at(out[:, 0], owners, np.array(rows) @ self.w + self.bias)
         return out
 
 
@@ -170,20 +182,24 @@ class Reader:
                     self.far.add(names[i])
             at = end
 
-    def sentences(self, texts: list[str]) -> tuple[list[int], list[np.ndarray]]:
-        """(text, kernel values of the nearest words) of every sentence with a word near a landmark."""
+    def read(self, texts: list[str]) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+        """Text and kernel values of the nearest words of every sentence with a word near a landmark, and the scaled mean
+        values of each text's words."""
         lower = [t.lower() for t in texts]
-        own = [set(tokens_of(t)) for t in lower]
+        own = [Counter(tokens_of(t)) for t in lower]
         self.learn(set().union(*own))
-        owners, rows = [], []
+        owners, rows, means = [], [], np.zeros((len(texts), len(self.kernel.landmarks)))
         for i, (text, tokens) in enumerate(zip(lower, own, strict=True)):
-            if not self.near.keys().isdisjoint(tokens):
+            near = self.near.keys() & tokens.keys()
+            if near:
+                known = sorted(near)  # sums do not depend on the order of a set
+                means[i] = np.array([tokens[t] for t in known]) @ np.array([self.near[t] for t in known]) * (SCALE / (tokens.total() + SPARE))
                 for s in _SENTENCE.split(text):
-                    hit = [self.near[t] for t in tokens_of(s) if t in self.near]  # few texts get here
+                    hit = [self.near[t] for t in tokens_of(s) if t in near]  # few texts get here
                     if hit:
                         owners.append(i)
                         rows.append(np.max(hit, axis=0))
-        return owners, rows
+        return owners, rows, means
 
 
 def _excess(a: int, b: int, share: float) -> float:
@@ -194,19 +210,19 @@ def _excess(a: int, b: int, share: float) -> float:
     return a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0.0)
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, most: int = 300) -> tuple[list[str], int]:
-    """Landmark words, and how many of them, the first, mark toxic documents: two thirds are words that mark toxic documents, no two of them alike; one third are clean words most like them."""
+def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, most: int = 400) -> tuple[list[str], int]:
+    """Landmarks, and how many of them, the first, mark toxic documents: up to two thirds are words and stems that mark toxic documents, no two of them alike; the rest are clean words most like them."""
     sentences = [{s for t, k in zip(texts, toxic, strict=True) if k == y for s in _SENTENCE.split(t.lower())} for y in (0, 1)]
-    seen = [Counter(t for s in each for t in set(tokens_of(s))) for each in sentences]  # copies count once
-    words = [Counter(), Counter()]
+    words, forms = [Counter(), Counter()], [Counter(), Counter()]
     for y in (0, 1):
-        for t, c in seen[y].items():
-            if w := word_of(t):
-                words[y][w] += c
+        for sentence in sentences[y]:  # copies count once
+            own = {w for t in tokens_of(sentence) if (w := word_of(t))}
+            words[y].update(own)
+            forms[y].update(own | {w[:n] for w in own for n in STEM})
     share = (len(sentences[1]) + 1) / (len(sentences[0]) + len(sentences[1]) + 2)
-    strength = {w: _excess(a, words[0][w], share) for w, a in words[1].items() if a >= 2}
-    sure = 3 + math.log(max(len(words[0]) + len(words[1]), 1))
-    strong = [w for w in sorted(strength, key=lambda w: (-strength[w], w)) if strength[w] > sure][:most]
+    strength = {w: _excess(a, forms[0][w], share) for w, a in forms[1].items() if a >= 2}
+    sure = 3 + math.log(max(len(forms[0]) + len(forms[1]), 1))
+    strong = [w for w in sorted(strength, key=lambda w: (-strength[w], -len(w), w)) if strength[w] > sure][:most]
     chosen: list[str] = []
     if strong:
         kernel = Kernel(strong)
@@ -241,26 +257,27 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3,
     return w[:-1], float(w[-1])
 
 
-def platt(margin: np.ndarray, goal: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope and shift of the sigmoid that fits smoothed labels best, by Newton steps that are halved until they help."""
-    z = np.stack([margin, np.ones_like(margin)], axis=1)
+def logistic(margins: np.ndarray, goal: np.ndarray, steps: int = 100) -> tuple[float, float, float]:
+    """Slopes and shift of the logistic function of the margins that fits smoothed labels best, by Newton steps that are
+    halved until they help."""
+    z = np.hstack([margins, np.ones((len(margins), 1))])
 
     def loss(x: np.ndarray) -> float:
         f = z @ x
         return float((np.logaddexp(0, f) - goal * f).sum() + 1e-6 * (x @ x))
 
-    x = np.array([1.0, 0.0])
+    x = np.array([0.5, 0.5, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ x, -50, 50)))
         gradient = z.T @ (p - goal) + 2e-6 * x
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), gradient)
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-6 * np.eye(3), gradient)
         size, now = 1.0, loss(x)
         while size > 1e-8 and loss(x - size * step) > now - 1e-12:
             size /= 2
         if size <= 1e-8:
             break
         x = x - size * step
-    return float(x[0]), float(x[1])
+    return float(x[0]), float(x[1]), float(x[2])
 
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
@@ -272,12 +289,14 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
     root = vector[:, good] / np.sqrt(value[good])
     if not len(toxic) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model(kernel, root, np.zeros(int(good.sum())), 0.0, 0.0, 4.0 if share >= 0.5 else -4.0)
-    owners, rows, reader = [], [], Reader(kernel)
+        none = (np.zeros(int(good.sum())), 0.0)
+        return Model(kernel, root, none, none, (0.0, 0.0, 4.0 if share >= 0.5 else -4.0))
+    owners, rows, means, reader = [], [], [], Reader(kernel)
     for i in range(0, len(texts), 200):
-        some, found = reader.sentences(texts[i : i + 200])
+        some, found, mean = reader.read(texts[i : i + 200])
         owners += [i + t for t in some]
         rows += found
+        means.append(mean)
     owner = np.array(owners, np.int64)
     x = np.array(rows).reshape(len(rows), len(kernel.landmarks)) @ root
     clean = toxic[owner] == 0 if len(owner) else np.zeros(0, bool)
@@ -296,13 +315,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
         weight[-1] = max(weight[-1], 0.5)
         w, bias = fit_svm(train, y, weight)
         score = x @ w + bias
-    model = Model(kernel, root, w, bias)
-    margin = np.full(len(texts), bias)
-    np.maximum.at(margin, owner, score)
+    whole = np.vstack(means) @ root
+    v, whole_bias = fit_svm(whole, np.where(toxic == 1, 1.0, -1.0), np.where(toxic == 1, 1 / (toxic == 1).sum(), 1 / (toxic == 0).sum()), steps=400)
+    margins = np.stack([np.full(len(texts), bias), whole @ v + whole_bias], axis=1)
+    np.maximum.at(margins[:, 0], owner, score)
     goal = np.where(toxic == 1, 1 - 1 / (2 + (toxic == 1).sum()), 1 / (2 + (toxic == 0).sum()))
-    a, b = platt(margin, goal)
-    model.slope, model.shift = a, b
-    return model
+    return Model(kernel, root, (w, bias), (v, whole_bias), logistic(margins, goal))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

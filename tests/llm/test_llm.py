@@ -331,6 +331,35 @@ def test_toxicity_generalises_and_is_bounded():
     assert (odd[:3] > 0.5).all() and (odd[3:] < 0.5).all()
 
 
+def test_toxicity_of_dense_stems():
+    """Forms of one stem count together, and a text that holds one of them by chance is clean."""
+    rng = random.Random(8)
+    syllables = ["ma", "ver", "lo", "tin", "sa", "ge", "pou", "ri", "den", "ka", "fu", "zi", "no", "bel"]
+
+    def text(forms):
+        all_words = ["".join(rng.choices(syllables, k=3)) for _ in range(60)]
+        for i in range(forms):
+            all_words[7 * i + rng.randrange(7)] = "gruxol" + "".join(rng.choices(syllables, k=2))
+        return " ".join(all_words)
+
+    rows = [(text(5), 1) if i % 4 == 0 else (text(i % 3 // 2), 0) for i in range(600)]
+    model = op5_toxicity.fit([t for t, _ in rows[:400]], np.array([y for _, y in rows[:400]]))
+    p = model.probabilities(model.margins([t for t, _ in rows[400:]]))
+    assert ((p >= 0.5) == [bool(y) for _, y in rows[400:]]).mean() > 0.97
+
+
+def test_toxicity_held_out_by_language(spark):
+    """Held-out rows of the given table, by language: how many toxic ones are caught and clean ones left alone."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.read(spark, sf, "documents"), common.read(spark, sf, "labels")
+    got = op5_toxicity.toxicity_scores(docs, op5_toxicity.train(docs, labels)).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
+    table = {r["lang"]: r for r in got.groupBy("lang").agg(F.sum("toxic").alias("toxic"), F.sum(F.expr("int(toxic = 1 and score >= 0.5)")).alias("caught"), F.sum(1 - F.col("toxic")).alias("clean"), F.sum(F.expr("int(toxic = 0 and score >= 0.5)")).alias("wrong")).collect()}
+    print({k: r[1:] for k, r in table.items()})
+    caught, toxic = (sum(r[k] for r in table.values()) for k in ("caught", "toxic"))
+    wrong, clean = (sum(r[k] for r in table.values()) for k in ("wrong", "clean"))
+    assert caught >= 0.75 * toxic and wrong <= 0.03 * clean
+
+
 def test_kernel_matches_direct_computation():
     def direct(a, b):
         def features(w):
