@@ -1,13 +1,16 @@
-"""License scan: lines of a text against license templates by the Dice coefficient over word bigrams.
+"""License scan: spans of a text against license templates by the Dice coefficient over word bigrams.
 
-DataFrame functions only, and no shuffle: a document's lines are normalised, those whose word count no template
-admits are dropped (Dice >= t bounds the ratio of the sizes by t / (2 - t)), then those that share no bigram with
-any template, and only the rest are compared, template by template within its bounds.
+DataFrame functions only, and no shuffle. A span begins and ends with a bigram of the template and is at most as many
+words long, wherever it stands: inside a longer line, or over several. Two bounds prune without losing a hit, as spans
+at Dice t share at least t / (2 - t) of the template's bigrams: texts that hold none of the words and bigrams that such a
+share must touch are passed over, and templates are compared only with spans of an admitted size.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "rights-reserved": "Copyright. All rights reserved.",
+    "rights-reserved-short": "All rights reserved.",
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
     "AGPL-3.0-notice": "Licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0-short": "Licensed under the Apache License 2.0.",
@@ -51,23 +55,48 @@ TEMPLATES = {
 DICE = 0.8
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a template, normalised as normalised() does."""
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
 def bigrams_of(text: str) -> list[str]:
-    """Sorted distinct word bigrams of a template, normalised as normalised() does."""
-    words = re.sub(r"[^a-z0-9\n]+", " ", text.lower()).split()
+    """Sorted distinct word bigrams of a template."""
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def needed(templates: dict[str, str], dice: float, long: int = 6) -> list[str]:
+    """Words and bigrams of which a text with a hit holds at least one: of each template its longest words of at least
+    `long` letters, then its longest bigrams, until a span without any of them would share too few bigrams."""
+    chosen: set[str] = set()
+    for text in templates.values():
+        grams = bigrams_of(text)
+        spare = len(grams) - math.ceil(dice / (2 - dice) * len(grams) - 1e-9)
+        words = sorted({w for w in words_of(text) if len(w) >= long} - chosen, key=lambda w: (len(w), w))
+        rest = sorted(grams, key=lambda g: (len(g), g)) + words
+        while sum(g in chosen or not chosen.isdisjoint(g.split()) for g in grams) <= spare:
+            chosen.add(rest.pop())
+    return sorted(chosen)
+
+
 def normalised(text: Column) -> Column:
-    """Lower case; every run of other characters than a-z, 0-9 and line feeds is one space. Accented letters are
-    such characters too, which only splits words of languages that no template has."""
-    return F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
+    """Lower case; every run of other characters than a-z and 0-9 is one space. Accented letters are such
+    characters too, which only splits words of languages that no template has."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines (lines that some template admits by size and shares a bigram with), n_hits (lines at or above
-    `dice` with some template), license and score of the best hit (ties: the smaller name), for every row of docs.
+    """doc_id, n_hits (stretches of overlapping spans at or above `dice` with some template; of the spans that begin at
+    one word the best counts), and of the best span its license, score, first_word and n_words (ties: the longer span,
+    the smaller name, the earlier span), for every row of docs.
 
-    Null and empty texts have no lines: zeros, and null license and score. Templates without a bigram are an error.
+    Null and empty texts have no spans: zero hits, nulls for the best. Templates without a bigram are an error.
     Very long texts are scanned whole. Repeated rows are rows of their own; other columns are ignored. Empty table:
     empty. The templates are literals of the plan: a parameter of bounded size, not data.
     """
@@ -75,31 +104,40 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, dice:
     sets = {k: bigrams_of(v) for k, v in chosen.items()}
     if any(not s for s in sets.values()):
         raise ValueError("a template needs two words")
-    low = min(dice / (2 - dice) * len(s) for s in sets.values())
-    high = max((2 - dice) / dice * len(s) for s in sets.values())
-    known = F.array(*[F.lit(b) for b in sorted({b for s in sets.values() for b in s})])
-    table = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*[F.lit(b) for b in s]).alias("grams")) for k, s in sorted(sets.items())])
-
-    def line_grams(line: Column) -> Column:
-        words = F.split(F.trim(line), " ")
-        pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-        return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
-
-    # a repeated bigram counts once, so a line may have more words than distinct bigrams: only the lower bound holds for words
-    enough = lambda line: F.char_length(line) - F.char_length(F.translate(line, " ", "")) >= int(low)
-    admitted = lambda g: (F.size(g) >= low) & (F.size(g) <= high) & F.arrays_overlap(g, known)
-    scored = lambda g: F.filter(
-        F.transform(
-            F.filter(table, lambda t: (F.size(g) >= dice / (2 - dice) * F.size(t["grams"])) & (F.size(g) <= (2 - dice) / dice * F.size(t["grams"]))),
-            lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))).alias("minus"), t["name"].alias("name")),
-        ),
-        lambda x: x["minus"] <= -dice,
-    )
-    lines = F.filter(F.split(normalised(F.coalesce(F.col(text_col), F.lit(""))), "\n"), enough)
-    units = docs.select(F.col(id_col).alias("doc_id"), F.filter(F.transform(lines, line_grams), admitted).alias("units"))
-    hits = units.withColumn("hits", F.filter(F.transform("units", lambda g: F.array_min(scored(g))), lambda h: h.isNotNull()))
-    best = F.array_min("hits")
-    return hits.select("doc_id", F.size("units").cast("long").alias("n_lines"), F.size("hits").cast("long").alias("n_hits"), best["name"].alias("license"), F.round(-best["minus"], 6).alias("score"))
+    known = sorted({b for s in sets.values() for b in s})
+    table = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(len(words_of(chosen[k])) - 1).alias("most"), F.array(*[F.lit(b) for b in s]).alias("grams")) for k, s in sorted(sets.items())])
+
+    def pairs(words: Column) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+
+    def scored(span: Column, t: Column, start: Column) -> Column:
+        """The span up to its last bigram of t, if t admits its size."""
+        last = F.array_max(F.transform(span, lambda g, k: F.when(F.array_contains(t["grams"], g), k + 1)))
+
+        def score(n: Column, own: Column) -> Column:
+            size, full = F.size(own), F.size(t["grams"])
+            value = F.struct((-2.0 * F.size(F.array_intersect(own, t["grams"])) / (size + full)).alias("minus"), (-n).alias("short"), t["name"].alias("name"), start.alias("start"), (start + n).alias("end"))
+            return F.when((size >= dice / (2 - dice) * full - 1e-9) & (size <= (2 - dice) / dice * full + 1e-9), value)
+
+        return _let(last, lambda n: _let(F.array_distinct(F.slice(span, 1, n)), lambda own: score(n, own)))
+
+    def best_at(grams: Column, start: Column) -> Column:
+        some = F.filter(table, lambda t: F.array_contains(t["grams"], F.get(grams, start)))
+        return F.array_min(F.filter(F.transform(some, lambda t: scored(F.slice(grams, start + 1, t["most"]), t, start)), lambda x: x["minus"] <= -dice))
+
+    def hits(grams: Column) -> Column:
+        starts = F.filter(F.transform(grams, lambda g, i: F.when(g.isin(known), i)), lambda i: i.isNotNull())
+        return F.filter(F.transform(starts, lambda i: best_at(grams, i)), lambda x: x.isNotNull())
+
+    may = F.lit(False)
+    for w in needed(chosen, dice):
+        may = may | F.contains(F.col("plain"), F.lit(w))
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("plain"))
+    found = texts.select("doc_id", F.when(may, _let(F.split("plain", " "), lambda w: _let(pairs(w), hits))).alias("hits"))
+    stretch = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
+    count = F.aggregate("hits", stretch, lambda a, h: F.struct((a["n"] + (h["start"] > a["end"]).cast("long")).alias("n"), F.greatest(a["end"], h["end"]).alias("end")), lambda a: a["n"])
+    best = found.select("doc_id", F.coalesce(count, F.lit(0).cast("long")).alias("n_hits"), F.array_min("hits").alias("best"))
+    return best.select("doc_id", "n_hits", F.col("best.name").alias("license"), F.round(-F.col("best.minus"), 6).alias("score"), F.col("best.start").cast("long").alias("first_word"), (F.col("best.end") - F.col("best.start") + 1).cast("long").alias("n_words"))
 
 
 def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,21 +146,24 @@ def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    sets = {k: bigrams_of(v) for k, v in TEMPLATES.items()}
-    rows = ", ".join("('" + k + "', [" + ", ".join(f"'{b}'" for b in s) + "])" for k, s in sorted(sets.items()))
+    rows = ", ".join(f"('{k}', {len(words_of(v)) - 1}, [" + ", ".join(f"'{b}'" for b in bigrams_of(v)) + "])" for k, v in sorted(TEMPLATES.items()))
     return rf"""
-WITH t(name, grams) AS (VALUES {rows}),
-n AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS x FROM documents),
-l AS (SELECT r, doc_id, string_split(trim(unnest(string_split(x, chr(10)))), ' ') AS w FROM n),
-g AS (SELECT r, row_number() OVER () AS line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM l),
-u AS (SELECT g.*, (SELECT max({DICE} / (2 - {DICE}) * len(grams)) FROM t) AS hi FROM g
-  WHERE len(g) >= (SELECT min({DICE} / (2 - {DICE}) * len(grams)) FROM t) AND len(g) <= (SELECT max((2 - {DICE}) / {DICE} * len(grams)) FROM t)
-  AND list_has_any(g, (SELECT flatten(list(grams)) FROM t))),
-s AS (SELECT r, line, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM u JOIN t ON list_has_any(g, grams)),
-b AS (SELECT r, line, name, dice FROM s WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, name) = 1),
-best AS (SELECT r, name, dice FROM b QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) = 1)
-SELECT n.doc_id, (SELECT count(*) FROM u WHERE u.r = n.r) AS n_lines, (SELECT count(*) FROM b WHERE b.r = n.r) AS n_hits, best.name AS license, round(best.dice, 6) AS score
-FROM n LEFT JOIN best USING (r)
+WITH t(name, most, grams) AS (VALUES {rows}),
+k AS (SELECT name, unnest(grams) AS b FROM t),
+n AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM n),
+e AS (SELECT r, unnest(g) AS b, unnest(range(len(g))) AS p FROM g),
+s AS (SELECT e.r, e.p, t.name, t.most, len(t.grams) AS size FROM e JOIN k USING (b) JOIN t USING (name)),
+o AS (SELECT r, p, name, size, p + unnest(range(most)) AS q FROM s),
+x AS (SELECT o.r, o.p, o.name, o.size, o.q, e.b, k.b IS NOT NULL AS known FROM o JOIN e ON e.r = o.r AND e.p = o.q LEFT JOIN k ON k.name = o.name AND k.b = e.b),
+m AS (SELECT *, max(CASE WHEN known THEN q END) OVER (PARTITION BY r, p, name) AS last FROM x),
+d AS (SELECT r, p, name, any_value(last) AS last, 2.0::DOUBLE * count(DISTINCT CASE WHEN known THEN b END) / (count(DISTINCT b) + any_value(size)) AS dice FROM m WHERE q <= last GROUP BY r, p, name),
+h AS (SELECT r, p, name, dice, last + 1 AS ends FROM d WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY dice DESC, last DESC, name) = 1),
+c AS (SELECT *, p > coalesce(max(ends) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS first FROM h),
+a AS (SELECT r, count(*) FILTER (first) AS n_hits FROM c GROUP BY r),
+best AS (SELECT r, name, dice, p, ends FROM h QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, ends - p DESC, name, p) = 1)
+SELECT n.doc_id, coalesce(a.n_hits, 0) AS n_hits, best.name AS license, round(best.dice, 6) AS score, best.p AS first_word, best.ends - best.p + 1 AS n_words
+FROM n LEFT JOIN a USING (r) LEFT JOIN best USING (r)
 """
 
 

@@ -662,30 +662,61 @@ def test_mixed_rows(spark, corpus):
 # ---- 9 ----------------------------------------------------------------------------------------------------------
 
 
+def plain_licenses(text):
+    """(n_hits, license, score, first word, words) by trying every template at every word."""
+    w = re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).split()
+    grams, hits = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)], []
+    for p in range(len(grams)):
+        found = []
+        for name, template in op9_licenses.TEMPLATES.items():
+            t = set(op9_licenses.bigrams_of(template))
+            span = grams[p : p + len(op9_licenses.words_of(template)) - 1]
+            if span[0] in t:
+                n = max(i for i, g in enumerate(span) if g in t) + 1
+                found.append((-2 * len(t & set(span[:n])) / (len(set(span[:n])) + len(t)), -n, name, p, n + 1))
+        if found and min(found)[0] <= -op9_licenses.DICE:
+            hits.append(min(found))
+    if not hits:
+        return (0, None, None, None, None)
+    n, end = 0, -1
+    for *_, p, size in hits:
+        n, end = n + (p > end), max(end, p + size - 1)
+    minus, _, name, p, size = min(hits)
+    return (n, name, round(-minus, 6), p, size)
+
+
 def test_licenses_match_brute_force(spark):
-    texts = ["Released under the MIT License.", "x\nreleased under the  MIT license!\nLicensed under the Apache License, Version 2.0.", "released under the GPL", None, "", "the mit license " * 400, " ".join(op9_licenses.TEMPLATES["GPL-3.0-notice"].split()[:-4]), "Ünder the MIT Lîcense"]
-    sets = {k: set(op9_licenses.bigrams_of(v)) for k, v in op9_licenses.TEMPLATES.items()}
-    want = []
-    for i, t in enumerate(texts):
-        hits = []
-        for line in re.sub(r"[^a-z0-9\n]+", " ", (t or "").lower()).split("\n"):
-            w = line.split()
-            g = set(map(" ".join, zip(w, w[1:], strict=False)))
-            found = [(-2 * len(g & s) / (len(g) + len(s)), k) for k, s in sets.items() if g]
-            hits += [min(found)] if found and min(found)[0] <= -op9_licenses.DICE else []
-        want.append((i, len(hits), min(hits)[1] if hits else None, round(-min(hits)[0], 6) if hits else None))
+    rng = random.Random(4)
+    full = op9_licenses.TEMPLATES
+    texts = ["Released under the MIT License.", "x\nreleased under the  MIT license!\nLicensed under the Apache License, Version 2.0.", "released under the GPL", None, "", "license", "the mit license " * 400, " ".join(full["GPL-3.0-notice"].split()[:-4]), "Ünder the MIT Lîcense", "Copyright (c) 2020 X. All rights reserved."]
+    for _ in range(60):  # notices with words lost, changed and added, wrapped anywhere within other words
+        notice = [rng.choice([w] * 28 + ["other", ""]) for w in full[rng.choice(sorted(full))].split()]
+        around = ["under", "the", "license", "licensed", "rights", "code"]
+        texts.append("".join(w + rng.choice([" ", "\n", " - "]) for w in [*rng.choices(around, k=5), *notice, *rng.choices(around, k=5)]))
     got = op9_licenses.license_scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]))
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
-    assert sorted((r["doc_id"], r["n_hits"], r["license"], r["score"]) for r in got.collect()) == want
+    want = [(i, *plain_licenses(t)) for i, t in enumerate(texts)]
+    assert sum(w[1] > 0 for w in want) > 40
+    assert sorted((r["doc_id"], r["n_hits"], r["license"], r["score"], r["first_word"], r["n_words"]) for r in got.collect()) == want
     assert op9_licenses.license_scan(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         op9_licenses.license_scan(frame(spark, []), {"x": "one"})
 
 
 def test_usual_license_lines_hit(spark):
-    lines = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "This project is released under the MIT License.", op9_licenses.TEMPLATES["MIT-grant-full"]]
-    got = op9_licenses.license_scan(frame(spark, [(i, f"some words\n{x}\nmore words", "s") for i, x in enumerate(lines)]))
-    assert [(r["n_hits"], r["license"]) for r in got.orderBy("doc_id").collect()] == [(1, "GPL-3.0-work"), (1, "CC-BY-NC-4.0"), (1, "MIT-project"), (1, "MIT-grant-full")]
+    lines = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "This project is released under the MIT License.", op9_licenses.TEMPLATES["MIT-grant-full"], "All rights reserved."]
+    wrapped = [f"some words {x.replace(' ', chr(10) + '# ', 2)} and more words" for x in lines]
+    got = op9_licenses.license_scan(frame(spark, [(i, f"some words\n{x}\nmore words", "s") for i, x in enumerate(lines)] + [(10 + i, x, "s") for i, x in enumerate(wrapped)]))
+    names = [(1, "GPL-3.0-work"), (1, "CC-BY-NC-4.0"), (1, "MIT-project"), (1, "MIT-grant-full"), (1, "rights-reserved-short")]
+    assert [(r["n_hits"], r["license"]) for r in got.orderBy("doc_id").collect()] == names * 2
+
+
+def test_license_lines_of_the_table(spark):
+    """Every document of the given table with a line that names a license has a hit."""
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+    named = docs.filter(F.col("text").rlike(r"(?im)^.*(licen[cs]ed? under|released under|all rights reserved)"))
+    found = op9_licenses.op9_license_dice(spark, "/root/testdata/sf0.01").filter("n_hits > 0")
+    assert named.count() > 0 and named.join(found, "doc_id", "left_anti").count() == 0
 
 
 # ---- 10 ---------------------------------------------------------------------------------------------------------
