@@ -210,18 +210,20 @@ def _excess(a: int, b: int, share: float) -> float:
     return a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0.0)
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, most: int = 400) -> tuple[list[str], int]:
+def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, most: int = 300) -> tuple[list[str], int]:
     """Landmarks, and how many of them, the first, mark toxic documents: up to two thirds are words and stems that mark toxic documents, no two of them alike; the rest are clean words most like them."""
     sentences = [{s for t, k in zip(texts, toxic, strict=True) if k == y for s in _SENTENCE.split(t.lower())} for y in (0, 1)]
     words, forms = [Counter(), Counter()], [Counter(), Counter()]
-    for y in (0, 1):
+    for y in (1, 0):
         for sentence in sentences[y]:  # copies count once
             own = {w for t in tokens_of(sentence) if (w := word_of(t))}
             words[y].update(own)
-            forms[y].update(own | {w[:n] for w in own for n in STEM})
+            own |= {w[:n] for w in own for n in STEM}
+            forms[y].update(own if y else own & forms[1].keys())  # those of clean sentences alone mark nothing
+        forms[y] = Counter({w: c for w, c in forms[y].items() if c >= 2 or not y})
     share = (len(sentences[1]) + 1) / (len(sentences[0]) + len(sentences[1]) + 2)
-    strength = {w: _excess(a, forms[0][w], share) for w, a in forms[1].items() if a >= 2}
-    sure = 3 + math.log(max(len(forms[0]) + len(forms[1]), 1))
+    strength = {w: _excess(a, forms[0][w], share) for w, a in forms[1].items()}
+    sure = 3 + math.log(max(len(words[0]) + len(words[1]), 1))
     strong = [w for w in sorted(strength, key=lambda w: (-strength[w], -len(w), w)) if strength[w] > sure][:most]
     chosen: list[str] = []
     if strong:
