@@ -75,7 +75,7 @@ def test_text_rules(spark):
 
 
 def test_names(spark):
-    assert column(spark, ["Flagstaff,AZMSA", "LosAngeles-LongBeach,CAHMFA[GOZone]", "Flagstaff, AZ MSA [x]", "plain"], "string", X.metro_name) == ["Flagstaff, AZ MSA", "Los Angeles-Long Beach, CA HMFA", "Flagstaff, AZ MSA", None]
+    assert column(spark, ["Flagstaff,AZMSA", "LosAngeles-LongBeach,CAHMFA[GOZone]", "Flagstaff, AZ MSA [x]", "plain", None, "", ",", "A,B,TXHSD"], "string", X.metro_name) == ["Flagstaff, AZ MSA", "Los Angeles-Long Beach, CA HMFA", "Flagstaff, AZ MSA", None, None, None, None, "A,B, TX HSD"]
     assert column(spark, ["BarbourCounty", "JuneauCityandBorough"], "string", X.split_camel) == ["Barbour County", "Juneau City and Borough"]
     assert column(spark, ["Page 3 of 12", "77", "ab", "Barbour"], "string", X.is_noise) == [True, True, True, False]
     assert column(spark, ["St. Clair County, AL"], "string", X.county_candidates)[0][-1] in ("saint clair", "st. clair")
