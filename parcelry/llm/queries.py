@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate
+from . import op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate, op11_shared_search
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff.op1_stupid_backoff,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fair_queue_mix": op8_fair_mix.op8_fair_queue_mix,
     "op9_license_dice": op9_licenses.op9_license_dice,
     "op10_spaced_seeds": op10_decontaminate.op10_spaced_seeds,
+    "op11_shared_search": op11_shared_search.op11_shared_search,
 }
 ORACLES = {
     "op1_stupid_backoff": op1_stupid_backoff.ORACLE,
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_minhash_bayes": op7_minhash_bayes.ORACLE,
     "op8_fair_queue_mix": op8_fair_mix.ORACLE,
     "op9_license_dice": op9_licenses.ORACLE,
+    "op11_shared_search": op11_shared_search.ORACLE,
 }
