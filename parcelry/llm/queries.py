@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate, op11_shared_search
+from . import op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate, op11_shared_search, op12_spelling_variants
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff.op1_stupid_backoff,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_dice": op9_licenses.op9_license_dice,
     "op10_spaced_seeds": op10_decontaminate.op10_spaced_seeds,
     "op11_shared_search": op11_shared_search.op11_shared_search,
+    "op12_spelling_variants": op12_spelling_variants.op12_spelling_variants,
 }
 ORACLES = {
     "op1_stupid_backoff": op1_stupid_backoff.ORACLE,
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_fair_queue_mix": op8_fair_mix.ORACLE,
     "op9_license_dice": op9_licenses.ORACLE,
     "op11_shared_search": op11_shared_search.ORACLE,
+    "op12_spelling_variants": op12_spelling_variants.ORACLE,
 }

@@ -4,12 +4,13 @@ and clashing extra columns."""
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from parcelry.llm import op11_shared_search
+from parcelry.llm import op11_shared_search, op12_spelling_variants
 from tests.llm.test_llm import DOCS, LOWER, frame
 
 ITEMS = "item_id long, text string, block string, plan string, term string, rank string, score string, doc_id string"
@@ -83,3 +84,92 @@ def test_search_query_equals_its_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = op11_shared_search.op11_shared_search(spark, sf).collect()
     assert sorted((tuple(r) for r in got), key=repr) == search_by_hand(docs, items, 20)
+
+
+def variants_by_hand(rows):
+    counts = Counter()
+    for r in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", r[1] or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if r[0] is None else r[0]}:{run}".encode())
+            counts[run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+    def is_near(u, v):
+        if len(u) > len(v):
+            u, v = v, u
+        if len(u) == len(v):
+            return sum(x != y for x, y in zip(u, v, strict=True)) == 1
+        return len(v) == len(u) + 1 and any(v[:i] + v[i + 1 :] == u for i in range(len(v)))
+
+    near = {u: [v for v in words if is_near(u, v)] for u in words}
+    form = {}
+    for u, vs in near.items():
+        best = min(vs, key=lambda v: (-words[v], v), default=None)
+        form[u] = best if best is not None and words[best] >= 2 * words[u] else None
+
+    def root(u):
+        return u if form[u] is None else root(form[u])
+
+    return sorted(((u, form[u], root(u), words[u], len(near[u]), words.get(form[u])) for u in words), key=repr)
+
+
+@pytest.fixture(scope="module")
+def spelled():
+    rng = random.Random(12)
+    stems = ["aaaaa", "aaaaaa", "aaaaaaa", "banane", "BANANEN", "straße", "straßen", "été×éé", "hello", "hallo", "hellooo", "xyzzy"]
+    letters = "abné÷"
+    pool = list(stems)
+    for s in stems:
+        for _ in range(25):
+            i = rng.randrange(len(s) + 1)
+            pool.append(rng.choice([s[:i] + rng.choice(letters) + s[i:], s[:i] + s[i + 1 :], s[:i] + rng.choice(letters) + s[i + 1 :]]))
+    pool += ["".join(rng.choices("ab", k=rng.choice([4, 5, 6, 7, 8]))) for _ in range(300)]
+    rows = [(i, rng.choice([" ", "-", "1"]).join(rng.choices(pool, [1 / (k % 40 + 1) for k in range(len(pool))], k=120)), "s") for i in range(60)]
+    long = "".join(rng.choices("abc", k=5_000))
+    rows += [(70, None, "s"), (71, "", "s"), (72, "1 2 ,", "s"), (73, rows[0][1], "s"), (73, rows[0][1], "s"), (None, rows[1][1], "s"), (74, " ".join([long] * 3 + [long + "x"] * 7 + ["q" + long] * 14), "s"), (75, "plural " * 40_000, "s")]
+    return rows
+
+
+@pytest.mark.parametrize("most", [20_000, 7])
+def test_spelling_variants_equal_brute_force(spark, spelled, most, monkeypatch):
+    monkeypatch.setattr(op12_spelling_variants, "MOST", most)  # groups whole, or parted again and again
+    monkeypatch.setattr(op12_spelling_variants, "HELD", 100)
+    got = op12_spelling_variants.spelling_variants(frame(spark, spelled)).collect()
+    by_hand = variants_by_hand(spelled)
+    assert sorted((tuple(r) for r in got), key=repr) == by_hand
+    assert sum(r[1] is not None for r in by_hand) > 50 and any(r[2] not in (r[0], r[1]) for r in by_hand)
+
+
+def test_spelling_variants_without_words(spark):
+    for rows in ([], [(1, None, None)], [(1, "abcd abcd abcd", "s")], [(1, "single words only here", "s")]):
+        assert op12_spelling_variants.spelling_variants(frame(spark, rows)).collect() == []
+
+
+def test_acceptor_is_minimal_and_composes_once():
+    words = sorted({a + b + c for a in ("t", "s", "") for b in ("op", "ops", "oop") for c in ("", "s", "ped")})
+    machine = op12_spelling_variants.Acceptor(words)
+    open_, accepted, reached = [(0, "")], [], set()
+    while open_:
+        p, s = open_.pop()
+        reached.add(p)
+        accepted += [s] * machine.final[p]
+        open_ += [(q, s + c) for c, q in machine.moves[p].items()]
+    assert sorted(accepted) == words
+
+    def rest(p):
+        return frozenset([""] * machine.final[p] + [c + s for c, q in machine.moves[p].items() for s in rest(q)])
+
+    assert len({rest(p) for p in reached}) == len(reached)  # no two states accept the same
+    for n in range(2, 8):
+        pairs = machine.near(n, True)
+        by_hand = [(u, v) for u in words for v in words if len(u) == n and ((len(v) == n and u < v and sum(x != y for x, y in zip(u, v, strict=True)) == 1) or (len(v) == n + 1 and any(v[:i] + v[i + 1 :] == u for i in range(n + 1))))]
+        assert sorted(pairs) == sorted(by_hand)
+
+
+def test_variants_query_equals_its_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    docs_frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((tuple(r) for r in op12_spelling_variants.spelling_variants(docs_frame).collect()), key=repr) == variants_by_hand(docs)
+    assert op12_spelling_variants.op12_spelling_variants(spark, sf).columns == ["word", "form", "root", "n", "n_near", "form_n"]
