@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate, op11_shared_search, op12_spelling_variants
+from . import op1_stupid_backoff, op2_secrets, op3_chat_format, op4_kd_shards, op5_toxicity, op6_pivot_index, op7_minhash_bayes, op8_fair_mix, op9_licenses, op10_decontaminate, op11_shared_search, op12_spelling_variants, op13_warc_revisits
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff.op1_stupid_backoff,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_spaced_seeds": op10_decontaminate.op10_spaced_seeds,
     "op11_shared_search": op11_shared_search.op11_shared_search,
     "op12_spelling_variants": op12_spelling_variants.op12_spelling_variants,
+    "op13_warc_revisits": op13_warc_revisits.op13_warc_revisits,
 }
 ORACLES = {
     "op1_stupid_backoff": op1_stupid_backoff.ORACLE,
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_license_dice": op9_licenses.ORACLE,
     "op11_shared_search": op11_shared_search.ORACLE,
     "op12_spelling_variants": op12_spelling_variants.ORACLE,
+    "op13_warc_revisits": op13_warc_revisits.ORACLE,
 }

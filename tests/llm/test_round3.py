@@ -1,6 +1,10 @@
 """Shared search, spelling variants and archives against brute force, with nulls, empty and repeated rows, empty tables
 and clashing extra columns."""
 
+import base64
+import glob
+import gzip
+import hashlib
 import math
 import random
 import re
@@ -8,9 +12,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from parcelry.llm import op11_shared_search, op12_spelling_variants
+from parcelry.llm import op11_shared_search, op12_spelling_variants, op13_warc_revisits
 from tests.llm.test_llm import DOCS, LOWER, frame
 
 ITEMS = "item_id long, text string, block string, plan string, term string, rank string, score string, doc_id string"
@@ -173,3 +178,100 @@ def test_variants_query_equals_its_brute_force(spark):
     docs_frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((tuple(r) for r in op12_spelling_variants.spelling_variants(docs_frame).collect()), key=repr) == variants_by_hand(docs)
     assert op12_spelling_variants.op12_spelling_variants(spark, sf).columns == ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_counts_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(op12_spelling_variants, "HELD", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array(["alpha beta- Gamma delta", "alpha alpha omega", None])], ["doc_id", "text"])
+    parts = list(op12_spelling_variants._counted([batch, batch]))
+    total = Counter()
+    for p in parts:
+        total.update(dict(zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)))
+    assert len(parts) > 2 and total == {"alpha": 6, "gamma": 2, "delta": 2, "omega": 2}
+
+
+PAGES = "page_id long, url string, html string, digest string, file string, content string, n string, to string"
+
+
+def pages_frame(spark, rows):
+    return spark.createDataFrame([(i, u, h, "x", "x", "x", "x", "x") for i, u, h in rows], PAGES).repartition(3)
+
+
+def revisits_by_hand(rows, min_bytes=0):
+    groups = {}
+    for i, _, html in rows:
+        groups.setdefault((html or "").encode(), []).append(i)
+    out = []
+    for payload, ids in groups.items():
+        ids.sort(key=lambda i: (i is not None, i or 0), reverse=True)
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        for k, i in enumerate(ids):
+            again = k > 0 and len(payload) >= min_bytes
+            out.append((i, len(payload), digest, "revisit" if again else "response", ids[0] if again else None))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def page_rows():
+    rng = random.Random(13)
+    bodies = ["<p>one</p>", "é\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n", "", "x" * 300_000, "HTTP/1.1 200 OK\r\n\r\nbody", "\0\n\0"]
+    rows = [(i, f"http://e.org/{i}?q=é\r\nA: b", rng.choice(bodies)) for i in range(60)]
+    rows += [(i, "http://hot.org", "the hot page") for i in range(100, 140)] + [(i, None, f"own {i}") for i in range(200, 230)]
+    rows += [(300, "u", None), (None, None, None), (None, "u", "<p>one</p>"), (301, "u", "twice"), (301, "u", "twice"), (None, "v", "nobody"), (None, "w", "nobody"), (-5, "n", "nobody")]
+    return rows
+
+
+@pytest.mark.parametrize(("sent", "min_bytes", "archive"), [(20_000, 0, 64 << 20), (0, 11, 2_000)])
+def test_revisits_equal_brute_force(spark, page_rows, sent, min_bytes, archive, monkeypatch):
+    monkeypatch.setattr(op13_warc_revisits, "SENT", sent)  # changes sent to all tasks, or joined by a shuffle
+    got = op13_warc_revisits.page_revisits(pages_frame(spark, page_rows), min_bytes, archive_bytes=archive).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == revisits_by_hand(page_rows, min_bytes)
+
+
+def test_no_pages(spark):
+    assert op13_warc_revisits.page_revisits(pages_frame(spark, [])).collect() == []
+
+
+def test_archives_hold_what_they_say(spark, page_rows, tmp_path):
+    op13_warc_revisits.write_pages(pages_frame(spark, page_rows), f"{tmp_path}/a", archive_bytes=50_000)
+    op13_warc_revisits.deduplicate(spark, f"{tmp_path}/a", f"{tmp_path}/b", archive_bytes=50_000)
+    held = {}
+    for top in "ab":
+        files = glob.glob(f"{tmp_path}/{top}/part-*")
+        assert len(files) > 3
+        held[top] = [r for f in files for r in op13_warc_revisits.records(open(f, "rb").read())]
+    payloads = sorted(op13_warc_revisits.parted(*r)[1] for r in held["a"])
+    assert payloads == sorted((h or "").encode() for _, _, h in page_rows)
+    responses = {f["warc-record-id"]: (f, op13_warc_revisits.parted(f, b)[1]) for f, b in held["b"] if f["warc-type"] == "response"}
+    again = [f for f, _ in held["b"] if f["warc-type"] == "revisit"]
+    assert sorted(p for _, p in responses.values()) == sorted(set(payloads)) and len(again) == len(payloads) - len(responses)
+    assert not {f["warc-record-id"] for f, _ in held["a"]} & {f["warc-record-id"] for f, _ in held["b"]}
+    for f in again:
+        to, payload = responses[f["warc-refers-to"]]
+        assert f["warc-payload-digest"] == to["warc-payload-digest"] == "sha1:" + op13_warc_revisits.digest_of(payload)
+        assert f["warc-refers-to-target-uri"] == to["warc-target-uri"] and f["warc-profile"] == op13_warc_revisits.PROFILE
+    assert sorted(responses[f["warc-refers-to"]][1] for f in again) == sorted((Counter(payloads) - Counter(set(payloads))).elements())
+
+
+def test_foreign_archives(spark, tmp_path):
+    made, digest = op13_warc_revisits.record, op13_warc_revisits.digest_of
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    response = lambda n, payload, date: made([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{n}>"), ("WARC-Date", date), ("WARC-Target-URI", f"http://{n}"), ("Content-Type", "application/http; msgtype=response")], http + payload)
+    older = made([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:r>"), ("WARC-Date", "2019"), ("WARC-Payload-Digest", f"sha1:{digest(b'same').lower()}"), ("WARC-Refers-To", "<urn:1>"), ("Content-Type", "application/http")], http)
+    lost = made([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:l>"), ("WARC-Payload-Digest", "sha1:ELSEWHERE"), ("WARC-Refers-To", "<urn:elsewhere>"), ("Content-Type", "application/http")], http)
+    info = made([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:i>"), ("Content-Type", "application/warc-fields")], b"software: x\r\n")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "plain.warc").write_bytes(info + response(1, b"same", "2020") + older)
+    (tmp_path / "a" / "whole.warc.gz").write_bytes(gzip.compress(response(2, b"same", "2021") + lost))
+    (tmp_path / "a" / "empty.warc").write_bytes(b"")
+    op13_warc_revisits.deduplicate(spark, f"{tmp_path}/a", f"{tmp_path}/b")
+    fresh = op13_warc_revisits.fresh_id
+    rows = {r.record_id: r for r in op13_warc_revisits.index(spark, f"{tmp_path}/b").collect()}
+    assert {k: (r.kind, r.refers_to) for k, r in rows.items()} == {
+        fresh("<urn:i>"): ("warcinfo", None), fresh("<urn:1>"): ("revisit", fresh("<urn:2>")), fresh("<urn:2>"): ("response", None), fresh("<urn:r>"): ("revisit", fresh("<urn:2>")), fresh("<urn:l>"): ("revisit", "<urn:elsewhere>"),
+    }
+    assert sorted((r.payload_bytes, r.record_type) for r in op13_warc_revisits.resolved(spark, f"{tmp_path}/b").fillna(-1).collect()) == [(-1, "revisit"), (4, "response"), (4, "revisit"), (4, "revisit")]
+    with pytest.raises(ValueError, match="breaks off"):
+        list(op13_warc_revisits.records(info[:-10]))
+    with pytest.raises(ValueError, match="no record"):
+        list(op13_warc_revisits.records(b"hello\r\n"))
