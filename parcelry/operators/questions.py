@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keep import keep_best
 from .tools import either_kind, optional, with_fallback
 
 #: The income program that is meant where none is named.
@@ -41,11 +40,18 @@ def get_ami_limits(requests: DataFrame, limits: DataFrame, columns: Sequence[str
 
 def get_hmda_risk(requests: DataFrame, card: DataFrame, columns: Sequence[str]) -> DataFrame:
     """requests (cbsa_code, county_fips, assessment_year) with the risk of the metro area (its county with most
-    applications), else of the county; answered_by is metro, county or null."""
-    by_metro = keep_best(card.dropna(subset=["cbsa_code"]), ["cbsa_code", "assessment_year"], "total_applications", ["risk_id"])
-    by_county = keep_best(card.dropna(subset=["county_fips"]), ["county_fips", "assessment_year"], "total_applications", ["risk_id"])
-    found = with_fallback(requests, by_metro.select("cbsa_code", "assessment_year", *columns), ["cbsa_code", "assessment_year"], by_county.select("county_fips", "assessment_year", *columns), ["county_fips", "assessment_year"], columns)
-    return found.withColumn("answered_by", F.when(F.col("answered_by") == "first", "metro").when(F.col("answered_by") == "second", "county"))
+    applications), else of the county; answered_by is metro, county or null. The card is made once: each of its rows
+    stands for its metro area and its county, and each request asks for both."""
+    kinds = (("metro", "cbsa_code"), ("county", "county_fips"))
+    each = lambda: F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("place")) for kind, c in kinds])).alias("e")
+    answer = F.struct(*[F.col(c) for c in columns])
+    known = card.select(each(), F.col("assessment_year").alias("__year"), F.struct(-F.col("total_applications"), F.col("risk_id")).alias("o"), answer.alias("a")).filter("e.place is not null")
+    best = known.groupBy(F.col("e.kind").alias("__kind"), F.col("e.place").alias("__place"), "__year").agg(F.min_by("a", "o").alias("__answer"))
+    asked = requests.withColumn("__request", F.monotonically_increasing_id()).withColumn("e", each()).withColumns({"__k": F.col("e.kind"), "__p": F.col("e.place")}).drop("e")
+    joined = asked.join(best, (F.col("__k") == F.col("__kind")) & (F.col("__p") == F.col("__place")) & (F.col("assessment_year") == F.col("__year")), "left")
+    found = F.when(F.col("__answer").isNotNull(), F.struct((F.col("__k") != "metro").alias("second"), F.col("__k").alias("kind"), F.col("__answer").alias("answer")))
+    one = joined.groupBy(*requests.columns, "__request").agg(F.min_by(found, found["second"]).alias("f"))
+    return one.select(*requests.columns, *[F.col(f"f.answer.{c}").alias(c) for c in columns], F.col("f.kind").alias("answered_by"))
 
 
 def search_tracts(tracts: DataFrame, designations: DataFrame, year: int, county: str | None = None, state: str | None = None, is_qct: bool | None = None, is_dda: bool | None = None) -> DataFrame:

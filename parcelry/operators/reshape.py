@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import Scan
+
 
 def program_rows(df: DataFrame, blocks: Mapping[str, str], ids: Sequence[str], persons: int = 8, limit: str = "limit_{}person") -> DataFrame:
     """Column blocks <prefix>1.. to one row per program with limit_1person.., in one pass."""
@@ -32,12 +34,13 @@ def zip_rows(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
     return df.select(*ids, F.explode(codes).alias("zcta"))
 
 
-def token_names(df: DataFrame, group: str, place: str, token: str, endings: Sequence[str]) -> DataFrame:
+def token_names(df: DataFrame, group: str, place: str, token: str, endings: Sequence[str], block: Column | None = None) -> DataFrame:
     """Tokens of each group, in order, joined and split after each token that is an ending word: rows (group, place,
-    name), title case. Tokens after the last ending are left out. Only the tokens of one name meet in a row."""
-    ends = F.coalesce(F.col(token).rlike(rf"^(?:{'|'.join(endings)})$"), F.lit(False)).cast("int")
-    before = Window.partitionBy(group).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = df.withColumn("__end", ends).withColumn("__piece", F.coalesce(F.sum("__end").over(before), F.lit(0)).cast("int"))
+    name), title case. Tokens after the last ending are left out before any are collected, so only the tokens of one
+    name meet in a row. With a block (see scans) one group is many tasks."""
+    is_end = F.coalesce(F.col(token).rlike(rf"^(?:{'|'.join(endings)})$"), F.lit(False))
+    scan = Scan(df.withColumn("__end", is_end.cast("int")), [group], [place], block)
+    pieces = scan.counted("__upto", F.col("__end"), "__all").rows().withColumn("__piece", (F.col("__upto") - F.col("__end")).cast("int")).filter("__piece < __all")
     words = F.transform(F.array_sort(F.collect_list(F.struct(place, token))), lambda x: x[token])
-    joined = pieces.groupBy(group, "__piece").agg(F.array_join(words, " ").alias("t"), F.max("__end").alias("e")).filter("e = 1")
+    joined = pieces.groupBy(group, "__piece").agg(F.array_join(words, " ").alias("t"))
     return joined.select(group, F.col("__piece").alias("place"), F.initcap(F.lower(F.trim("t"))).alias("name"))

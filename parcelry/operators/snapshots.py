@@ -83,6 +83,10 @@ class Table:
         at = self._current()
         return None if at is None else self.spark.read.parquet(f"{self.path}/{at.split(' ')[1]}")
 
+    def near(self, rows: DataFrame) -> DataFrame | None:
+        """What of the table may share a key with rows: all of it (see buckets.BucketedTable)."""
+        return self.read()
+
     def replace(self, df: DataFrame) -> DataFrame:
         at = self._current()
         number = int(at.split(" ")[0]) + 1 if at else 0
@@ -99,10 +103,11 @@ class Table:
 def apply_changes(incoming: DataFrame, keys: Sequence[str], columns: Sequence[str], nodes: Table, state: Table) -> DataFrame:
     """Writes new and changed rows to nodes, then their hashes to state, and returns the counts of actions.
 
-    State moves last, so a failed run is repeated rather than skipped.
+    State moves last, so a failed run is repeated rather than skipped. Where nodes and state are bucketed tables, what is
+    read of the state and written of both is the buckets of the incoming and of the changed keys.
     """
     hashed = keep_last(incoming, keys, [c for c in incoming.columns if c not in keys]).withColumn("content_hash", fingerprint(columns))
-    old = state.read()
+    old = state.near(hashed)
     actions = change_actions(hashed, old, keys) if old is not None else hashed.withColumn("action", F.lit("CREATE"))
     # written once: counts, nodes and state come from the same rows, whatever incoming is computed from
     path = f"{nodes.path}/_actions/{uuid.uuid4().hex}"

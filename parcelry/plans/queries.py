@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +10,9 @@ from ..functions import measures as M
 from ..functions import text as X
 from ..functions.coerce import enforce, padded_columns
 from ..operators import checks, collapse, graph, keep, lines, matching, questions, reshape, risk, snapshots, tools, vintages
+from .registry import ORACLES, QUERIES, query
 from .stand_ins import ROUNDED, applications, card, card_sql, card_with_metro, county, rounded, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 # ---- risk -------------------------------------------------------------------------------------------------------
 
@@ -224,7 +209,7 @@ n AS (SELECT conv_id, place, lower(trim(string_agg(token, ' ' ORDER BY turn, i),
 SELECT conv_id, place, array_to_string(list_transform(string_split(name, ' '), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || x[2:]), ' ') AS name FROM n""")
 def token_stream_split(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "conversations").select("conv_id", F.col("turn"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("at", "token"))
-    return reshape.token_names(words.select("conv_id", (F.col("turn") * 1_000_000 + F.col("at")).alias("place"), "token"), "conv_id", "place", "token", ["the", "que", "der"])
+    return reshape.token_names(words.select("conv_id", (F.col("turn") * 1_000_000 + F.col("at")).alias("place"), "token"), "conv_id", "place", "token", ["the", "que", "der"], F.floor(F.col("place") / 1_000_000))
 
 
 # ---- keys, order, lines -----------------------------------------------------------------------------------------
@@ -246,20 +231,26 @@ def keep_first(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
 def forward_fill_headers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    return lines.carried_down(c, F.col("role") == "user", F.md5("text"), ["conv_id"], ["turn", "role", "text"], "asked").select("conv_id", "turn", "role", "asked")
+    return lines.carried_down(c, F.col("role") == "user", F.md5("text"), ["conv_id"], ["turn", "role", "text"], "asked", F.floor(F.col("turn") / 4)).select("conv_id", "turn", "role", "asked")
+
+
+#: Microseconds of time that one task scans of a user's events.
+_WEEK = 7 * 86_400_000_000
 
 
 @query("""WITH g AS (SELECT event_id, user_id, value, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 3600000000, true)::INTEGER AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id))
 SELECT event_id, user_id, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::INTEGER AS row_no, CASE WHEN value < 5 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END::INTEGER AS column_no FROM g""")
 def merge_gap_rows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return lines.merged_rows(e, ["user_id"], "t", ["event_id"], 3_600_000_000).select("event_id", "user_id", "row_no", lines.column_bucket(F.col("value"), [5, 50]).alias("column_no"))
+    return lines.merged_rows(e, ["user_id"], "t", ["event_id"], 3_600_000_000, F.floor(F.col("t") / _WEEK)).select("event_id", "user_id", "row_no", lines.column_bucket(F.col("value"), [5, 50]).alias("column_no"))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events), p AS (SELECT DISTINCT user_id, t FROM e), n AS MATERIALIZED (SELECT a.user_id, a.t, min(b.t) AS nxt FROM p a JOIN p b ON a.user_id = b.user_id AND a.t + 3600000000 < b.t GROUP BY 1, 2),
+s AS (SELECT user_id, min(t) AS t, 1 AS row_no FROM p GROUP BY user_id UNION ALL SELECT s.user_id, n.nxt, row_no + 1 FROM s JOIN n ON n.user_id = s.user_id AND n.t = s.t)
+SELECT event_id, e.user_id, e.t / 1e6 AS t, row_no FROM e ASOF JOIN s ON e.user_id = s.user_id AND e.t >= s.t""")
 def merge_anchor_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return lines.anchored_rows(e, "user_id", "t", 3600.0)
+    e = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return lines.anchored_rows(e, "user_id", "t", 3_600_000_000, _WEEK).withColumn("t", F.col("t") / 1e6)
 
 
 # ---- snapshots --------------------------------------------------------------------------------------------------
@@ -659,3 +650,4 @@ def name_repair(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+from . import stored, text_lines  # noqa: E402, F401  more queries, in the same registry

@@ -1,10 +1,12 @@
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from parcelry.operators import checks, collapse, graph, keep, lines, matching, reshape, risk, snapshots, tools, vintages
 from parcelry.sources import files
-from parcelry.streaming.increments import apply_stream
+from parcelry.streaming.increments import apply_counts, apply_stream
 
 
 def rows(df):
@@ -28,6 +30,46 @@ def test_scorecard_counts_and_nulls(spark):
     assert b["risk_tier"] == "unknown" and b["lender_count"] is None and b["avg_loan_amount"] is None and b["top_denial_reason"] is None
 
 
+def applications_of(spark, seed, n=300):
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs)
+    return spark.createDataFrame([(pick("1", "2", "3"), rng.choice([None, *range(9)]), pick(None, "100", "12.5", "x"), pick("1", "2"), pick("1", "5", None), pick("1", "2", None), pick(True, False, None), pick("1", "3", "10", "", None, "7"), pick("00001", "00003", None), pick(2020, 2021)) for _ in range(n)], APP)
+
+
+def test_card_of_increments_is_that_of_all(spark, tmp_path):
+    parts = [applications_of(spark, i) for i in range(3)]
+    state = risk.card_state(spark, str(tmp_path / "s"), n_buckets=4)
+    for i, part in enumerate(parts):
+        cards = risk.add_applications(state, part, str(i))
+        risk.add_applications(state, part, str(i))  # a repeated batch
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert rows(risk.card_of(state.read())) == rows(risk.scorecard(everything)) == rows(cards)
+    one_year = risk.add_applications(state, applications_of(spark, 9, 40).filter("assessment_year = 2020 and county_fips = '00001'"), "3")
+    assert one_year.count() < cards.count() and state.entries()[0]["batch"] == "3"
+
+
+def test_stream_of_applications(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for i in range(2):
+        applications_of(spark, i).write.mode("append").parquet(src)
+        apply_counts(spark.readStream.schema(APP).parquet(src), str(tmp_path / "s"), str(tmp_path / "c"), n_buckets=2).awaitTermination()
+    assert rows(risk.card_of(risk.card_state(spark, str(tmp_path / "s")).read())) == rows(risk.scorecard(spark.read.parquet(src)))
+
+
+def test_sketches(spark, tmp_path):
+    apps = spark.range(60_000).select((F.col("id") % 7).alias("county"), F.when(F.col("id") % 11 != 0, F.col("id") % 20_000).alias("lender_id"))
+    by_county = risk.lender_sketches(apps, ["county"])
+    state = risk.sketch_state(spark, str(tmp_path / "s"), ["county"], 2)
+    for i in range(3):
+        risk.add_lenders(state, apps.filter(F.col("lender_id") % 3 == i), str(i))
+        risk.add_lenders(state, apps.filter(F.col("lender_id") % 3 == i), f"{i} again")
+    exact = apps.agg(F.count_distinct("lender_id")).first()[0]
+    for sketches in (by_county, state.read()):
+        whole = risk.estimated_lenders(risk.rolled_up(sketches, [])).first()
+        assert abs(whole["lender_count"] - exact) <= whole["lender_count_error"] < 0.06 * exact
+    assert rows(risk.estimated_lenders(state.read()).select("county", "lender_count")) == rows(risk.estimated_lenders(by_county).select("county", "lender_count"))
+
+
 def test_outlier_of_one_group_is_false(spark):
     df = spark.createDataFrame([("a", 2020, 0.5), ("b", 2021, None), ("c", 2021, None)], "risk_id string, y int, m double")
     assert not any(r["is_outlier"] for r in risk.outliers(df, "m", ["y"]).collect())

@@ -37,6 +37,14 @@ def test_query(spark, duck, name):
     if name in ORACLES:
         want = duck.sql(f"select {', '.join(columns)} from ({ORACLES[name]})").fetchall()
         assert got == sorted((tuple(plain(v) for v in r) for r in want), key=repr)
-    if name != "merge_anchor_rows":
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
+@pytest.mark.parametrize("name", ["risk_scorecard", "hmda_risk", "risk_by_metro"])
+def test_applications_are_read_once(spark, name):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # what ran in the end
+    assert plan.count("lineitem.parquet") == plan.count("orders.parquet") == 1
