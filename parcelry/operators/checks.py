@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.codes import NO_METRO, wrong_width
 from ..functions.measures import boost_wrong, rent_off
@@ -19,9 +20,11 @@ def where(df: DataFrame, column: str, op: str, a: object, b: object = None) -> D
 
 
 def actionable(df: DataFrame, action: str = "action", codes: Sequence[str] = ("1", "3"), fields: str | None = None, least: int = 85) -> DataFrame:
-    """Rows with one of the action codes, and with `least` fields where an array of fields is named."""
+    """Rows with one of the action codes, and with `least` fields where an array of fields, or their number, is named."""
     out = df.filter(F.col(action).isin(*codes))
-    return out if fields is None else out.filter(F.size(fields) >= least)
+    if fields is None:
+        return out
+    return out.filter((F.size(fields) if isinstance(df.schema[fields].dataType, ArrayType) else F.col(fields)) >= least)
 
 
 def with_status(df: DataFrame, reasons: Mapping[str, Column]) -> DataFrame:
@@ -47,6 +50,15 @@ def row_floor(df: DataFrame, least: int) -> None:
         raise ValueError(f"{n} rows; at least {least} are needed")
 
 
+def row_floors(tables: Mapping[str, tuple[DataFrame, int]]) -> DataFrame:
+    """(dataset, n_rows, least, is_enough) of several tables, by name, with the least number of rows of each."""
+    out = None
+    for name, (df, least) in tables.items():
+        one = df.agg(F.lit(name).alias("dataset"), F.count("*").alias("n_rows"), F.lit(least).cast("long").alias("least")).withColumn("is_enough", F.col("n_rows") >= F.col("least"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def designation_checks(flag: str, code: str, width: int, boost_col: str | None = None, limit: str | None = None, rent: str | None = None) -> dict[str, Column]:
     """Domain, width, boost and rent checks for count_checks."""
     out = {"flag_domain": ~F.col(flag).cast("int").isin(0, 1), "code_width": wrong_width(F.col(code), width)}
@@ -89,7 +101,8 @@ def is_territory(code: Column, prefixes: Sequence[str], name: Column, word: str)
 
 
 def unexpected(df: DataFrame, column: str, allowed: Sequence[object]) -> DataFrame:
-    return df.filter(~F.col(column).isin(*allowed))
+    """Rows whose value is none of those allowed; null is none of them."""
+    return df.filter(~F.coalesce(F.col(column).isin(*allowed), F.lit(False)))
 
 
 def width_violations(df: DataFrame, id_col: str, widths: Mapping[str, int]) -> DataFrame:

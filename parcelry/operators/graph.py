@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,102 @@ from .keep import keep_first
 EDGE = ("src_label", "src_id", "rel_type", "dst_label", "dst_id")
 
 
+def _first(columns: Column, order: Sequence[str]) -> Column:
+    """Aggregate: the columns of the first row in the order, nulls last; partial before the shuffle, as no window is."""
+    return F.min_by(columns, F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))]))
+
+
 def nodes(df: DataFrame, label: str, id_col: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(label, id, columns): one node per non-null id, the first in the order."""
-    one = keep_first(df.dropna(subset=[id_col]), [id_col], order)
-    return one.select(F.lit(label).alias("label"), F.col(id_col).cast("string").alias("id"), *columns)
+    one = df.dropna(subset=[id_col]).groupBy(F.col(id_col).cast("string").alias("__id")).agg(_first(F.struct(*columns), order).alias("__first"))
+    return one.select(F.lit(label).alias("label"), F.col("__id").alias("id"), *[F.col(f"__first.{c}").alias(c) for c in columns])
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """Edges from src to dst nodes whose `match` columns equal the `foreign` columns of the source's table, or of table
+    `via`, which holds the source's id as `src_id`."""
+
+    src: str
+    rel: str
+    dst: str
+    foreign: tuple[str, ...]
+    match: tuple[str, ...] = ("id",)
+    via: str | None = None
+    src_id: str = "id"
+
+
+# The patterns of the graph, with the names that its tables give their keys.
+PATTERNS = (
+    Pattern("County", "IN_STATE", "State", ("state_fips",)),
+    Pattern("MetroArea", "IN_STATE", "State", ("state_fips",)),
+    Pattern("CensusTract", "IN_COUNTY", "County", ("county_fips",)),
+    Pattern("CensusTract", "IN_METRO", "MetroArea", ("cbsa_code",)),
+    Pattern("County", "IN_METRO", "MetroArea", ("cbsa_code",)),
+    Pattern("QCTDesignation", "APPLIES_TO", "CensusTract", ("tract_fips",)),
+    Pattern("SDDADesignation", "APPLIES_TO", "MetroArea", ("fmr_area_code",), ("fmr_area_code",)),
+    Pattern("NMDDADesignation", "APPLIES_TO", "County", ("county_fips",)),
+    Pattern("StateAMILimit", "APPLIES_TO", "State", ("state_fips",)),
+    Pattern("LenderBehaviorRisk", "APPLIES_TO", "MetroArea", ("cbsa_code",)),
+    Pattern("LenderBehaviorRisk", "APPLIES_TO", "County", ("county_fips",)),
+    Pattern("County", "HAS_MSA_AMI", "Section8AMILimit", ("hud_area_code", "year"), ("hud_area_code", "year"), "crosswalk", "county_fips"),
+    Pattern("County", "HAS_STATE_AMI", "StateAMILimit", ("state_fips",), ("state_fips",), "non_metro", "county_fips"),
+)
+
+#: Columns that are no properties of a label's nodes: foreign keys that edges hold, and what loads are marked with.
+EXCLUDED: Mapping[str, Sequence[str]] = {"QCTDesignation": ("tract_fips",), "SDDADesignation": ("fmr_area_code",), "NMDDADesignation": ("county_fips",)}
+MARKS = ("content_hash", "ingested_at", "run_id")
+
+
+def _key(columns: Sequence[str]) -> Column:
+    """The columns as one key of strings; null if one of them is null or empty."""
+    texts = [F.col(c).cast("string") for c in columns]
+    there = F.lit(True)
+    for t in texts:
+        there = there & t.isNotNull() & (t != "")
+    return F.when(there, F.array(*texts))
+
+
+def all_edges(tables: Mapping[str, DataFrame], patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
+    """The edges of all patterns, by one join: each table is read once for what leaves it, as rows of tagged foreign keys,
+    and once for what reaches it. tables: by label, with the column id, and those that patterns go via. Edges that repeat
+    are one; those to nodes that aren't there, or via a source that isn't, are none."""
+    leaving = reaching = None
+    for name in dict.fromkeys(p.via or p.src for p in patterns):
+        own, df = [p for p in patterns if (p.via or p.src) == name], tables[name]
+        for p in own:
+            if p.via:  # unless a county is a node, a row of the crosswalk leads nowhere
+                df = df.join(tables[p.src].select(F.col("id").alias("__id")).distinct(), F.col(p.src_id).cast("string") == F.col("__id").cast("string"), "left_semi")
+        each = F.array(*[F.struct(F.lit(p.src).alias("src_label"), F.col(p.src_id).cast("string").alias("src_id"), F.lit(p.rel).alias("rel_type"), F.lit(p.dst).alias("dst_label"), F.lit(" ".join(p.match)).alias("by"), _key(p.foreign).alias("key")) for p in own])
+        rows = df.select(F.explode(F.filter(each, lambda e: e["key"].isNotNull() & e["src_id"].isNotNull())).alias("e")).select("e.*")
+        leaving = rows if leaving is None else leaving.unionByName(rows)
+    for label in dict.fromkeys(p.dst for p in patterns):
+        matches = dict.fromkeys(p.match for p in patterns if p.dst == label)
+        each = F.array(*[F.struct(F.lit(label).alias("dst_label"), F.lit(" ".join(m)).alias("by"), _key(m).alias("key"), F.col("id").cast("string").alias("dst_id")) for m in matches])
+        rows = tables[label].select(F.explode(F.filter(each, lambda e: e["key"].isNotNull() & e["dst_id"].isNotNull())).alias("e")).select("e.*")
+        reaching = rows if reaching is None else reaching.unionByName(rows)
+    return leaving.join(reaching.distinct(), ["dst_label", "by", "key"]).select(*EDGE).distinct()
+
+
+def all_nodes(tables: Mapping[str, DataFrame], labels: Sequence[str], order: Mapping[str, Sequence[str]] | None = None, excluded: Mapping[str, Sequence[str]] = EXCLUDED) -> DataFrame:
+    """(label, id, properties): one node per label and non-null id, the first in the label's order (by default of its
+    properties); properties are the JSON of its columns that are neither excluded nor MARKS, without nulls."""
+    out = None
+    for label in labels:
+        df = tables[label]
+        own = [c for c in df.columns if c not in (*excluded.get(label, ()), *MARKS)]
+        marked = df.dropna(subset=["id"]).select(F.col("id").cast("string").alias("__id"), F.to_json(F.struct(*own)).alias("properties"), *[F.col(c).alias(f"__{c}") for c in (order or {}).get(label, ())])
+        one = marked.groupBy("__id").agg(_first(F.col("properties"), [f"__{c}" for c in (order or {}).get(label, ())] or ["properties"]).alias("properties"))
+        one = one.select(F.lit(label).alias("label"), F.col("__id").alias("id"), "properties")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pattern_audit(edge_table: DataFrame, patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
+    """(rel_type, src_label, dst_label, n, status) of every pattern, MISSING where it has no edge."""
+    known = edge_table.sparkSession.createDataFrame([(p.rel, p.src, p.dst) for p in patterns], "rel_type string, src_label string, dst_label string")
+    found = known.join(edge_counts(edge_table), ["rel_type", "src_label", "dst_label"], "left")
+    return found.select("rel_type", "src_label", "dst_label", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("n").isNull(), "MISSING").otherwise("OK").alias("status"))
 
 
 def edges(fact: DataFrame, src_label: str, src_id: str, rel: str, dst_label: str, foreign: Column, anchors: DataFrame, anchor_id: str, also: Mapping[str, str] | None = None) -> DataFrame:

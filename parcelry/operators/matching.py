@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import county_candidates, name_key
 
-
-#: Characters of a query that a place without a state is looked up by.
-GRAM = 4
+#: Characters of the pieces that names are found by, and what stands after a name's end.
+GRAM, END = 3, "\x01"
 
 
 def code_by_name(df: DataFrame, name: str, dim: DataFrame, dim_name: str, dim_code: str, out: str) -> DataFrame:
@@ -34,24 +33,46 @@ def fill_county(df: DataFrame, row_id: str, state: str, name: str, code: str, di
     return known.unionByName(filled)
 
 
-def resolve_places(requests: DataFrame, places: DataFrame) -> DataFrame:
+def _pieces(text: Column, last: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def name_postings(names: DataFrame, name: str) -> DataFrame:
+    """(gram, name): the distinct names in lower case by each piece of GRAM characters, one for each place in a name at
+    most; the last pieces are filled with END. Made once, it serves any number of find_names."""
+    distinct = names.select(F.lower(name).alias("name")).filter("name is not null").distinct()
+    return distinct.select(F.explode(_pieces(F.concat("name", F.lit(END * (GRAM - 1))), F.length("name"))).alias("gram"), "name")
+
+
+def find_names(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, name): names that contain a query, for distinct lower-case queries. A query is looked up by the rarest of its
+    pieces alone and then compared; one with a piece that no name has finds nothing. A query shorter than a piece is
+    looked up among the distinct pieces, by what they begin with; the empty one is contained in all names."""
+    grams = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    pieces = queries.filter(F.length("query") >= GRAM).select("query", F.explode(_pieces(F.col("query"), F.length("query") - GRAM + 1)).alias("gram"))
+    rarest = pieces.join(grams, "gram", "left").groupBy("query").agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0).cast("long")), F.col("gram"))).alias("r"))
+    chosen = rarest.filter("r.n is not null").select("query", F.col("r.gram").alias("gram"))
+    found = chosen.join(postings, "gram").filter(F.contains("name", "query")).select("query", "name")
+    starts = grams.select("gram", F.explode(F.transform(F.sequence(F.lit(0), F.lit(GRAM - 1)), lambda n: F.substr(F.col("gram"), F.lit(1), n))).alias("query"))
+    short = queries.filter(F.length("query") < GRAM).join(starts, "query").join(postings, "gram").select("query", "name").distinct()
+    return found.unionByName(short)
+
+
+def resolve_places(requests: DataFrame, places: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """All places (state, state_name, place_code, place_name) whose name contains a request's (request_id, query, state)
     in any case, with match_count. The state, an abbreviation or a full name, is an equality, so requests with a
-    state never meet places of other states. Those without one meet the places that have the first GRAM characters of the query
-    somewhere in their name, and are compared with these.
+    state never meet places of other states. Those without one find names by name_postings of the places (made here, if
+    they are not given).
     """
     p = places.select("state", "state_name", "place_code", "place_name")
     hit = F.contains(F.lower("place_name"), F.lower("query"))
     by_state = requests.filter("state is not null").withColumnRenamed("state", "asked")
     keyed = p.select("*", F.explode(F.array_distinct(F.array(F.lower("state"), F.lower("state_name")))).alias("__key"))
     with_state = by_state.join(keyed, F.lower("asked") == F.col("__key")).filter(hit).select("request_id", "query", "state", "place_code", "place_name")
-    # every piece of a name of up to GRAM characters, the empty one too: a shorter query is a piece itself
-    name = F.lower("place_name")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substr(name, i, n))))
-    by_piece = p.select("*", F.explode(F.array_distinct(pieces)).alias("__piece"))
-    asked = requests.filter("state is null").drop("state").withColumn("__asked", F.substring(F.lower("query"), 1, GRAM))
-    without = asked.join(by_piece, F.col("__asked") == F.col("__piece")).filter(hit).select("request_id", "query", "state", "place_code", "place_name")
+    asked = requests.filter("state is null").drop("state").withColumn("__query", F.lower("query"))
+    names = find_names(asked.select(F.col("__query").alias("query")).filter("query is not null").distinct(), name_postings(p, "place_name") if postings is None else postings)
+    names = names.select(F.col("query").alias("__q"), F.col("name").alias("__name"))
+    without = asked.join(names, F.col("__query") == F.col("__q")).join(p, F.lower("place_name") == F.col("__name")).select("request_id", "query", "state", "place_code", "place_name")
     found = with_state.unionByName(without)
     counts = found.groupBy("request_id").agg(F.count("*").alias("match_count")).withColumnRenamed("request_id", "__id")
     return found.join(counts, F.col("request_id") == F.col("__id")).drop("__id")

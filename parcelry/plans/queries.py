@@ -10,6 +10,7 @@ from ..functions import measures as M
 from ..functions import text as X
 from ..functions.coerce import enforce, padded_columns
 from ..operators import checks, collapse, graph, keep, lines, matching, questions, reshape, risk, snapshots, tools, vintages
+from ..sources import files
 from .registry import ORACLES, QUERIES, query
 from .stand_ins import ROUNDED, applications, card, card_sql, card_with_metro, county, rounded, table
 
@@ -320,7 +321,8 @@ def harmonised_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_brand, 2024 AS year, 'notice' AS notice_ref, NULL::BOOLEAN AS held_harmless FROM part WHERE p_size > 40")
 def scan_project(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_size > 40").select("p_partkey", "p_brand", F.lit(2024).alias("year"), F.lit("notice").alias("notice_ref"))
+    p = files.read_present(spark, f"{d}/part.parquet", ["p_partkey", "p_brand", "p_size", "not_there"]).filter("p_size > 40")
+    p = files.with_provenance(p.drop("p_size", "source_file"), year=2024, notice_ref="notice")
     return padded_columns(p, {"held_harmless": "boolean"})
 
 
@@ -621,18 +623,21 @@ def upsert_coalesced(spark: SparkSession, d: str) -> DataFrame:
 # ---- text -------------------------------------------------------------------------------------------------------
 
 
+_RULES = X.term_rules(2026)
+
+
 def _term_sql() -> str:
     steps, fired = ["t0 AS (SELECT doc_id, text, text AS x FROM documents)"], []
-    for i, (pattern, replacement, label) in enumerate(X.TERM_RULES):
+    for i, (pattern, replacement, label) in enumerate(_RULES):
         fired.append(f"CASE WHEN f{i} THEN '{label}' END")
         steps.append(f"t{i + 1} AS (SELECT * REPLACE (regexp_replace(x, '{pattern}', '{replacement}', 'g') AS x), regexp_matches(x, '{pattern}') AS f{i} FROM t{i})")
-    return f"""WITH {", ".join(steps)} SELECT doc_id, md5(x) AS text_md5, array_to_string(list_filter([{", ".join(fired)}], lambda x: x IS NOT NULL), ';') AS rules, nullif(regexp_extract(text, '\\b(20[0-9]{{2}})\\b', 1), '')::INTEGER AS year, regexp_matches(text, '(?i)\\b(?:[0-9]{{11}}|fips|tract|county|state|cbsa|msa|city)\\b') AS has_place, contains(text, 'License') AS stated FROM t{len(X.TERM_RULES)}"""
+    return f"""WITH {", ".join(steps)} SELECT doc_id, md5(x) AS text_md5, array_to_string(list_filter([{", ".join(fired)}], lambda x: x IS NOT NULL), ';') AS rules, nullif(regexp_extract(text, '\\b(20[0-9]{{2}})\\b', 1), '')::INTEGER AS year, regexp_matches(text, '(?i)\\b(?:[0-9]{{11}}|fips|tract|county|state|cbsa|msa|city)\\b') AS has_place, contains(text, 'License') AS stated FROM t{len(_RULES)}"""
 
 
 @query(_term_sql())
 def normalize_terms(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    done = table(spark, d, "documents").select("doc_id", "text", X.normalise_terms(t).alias("terms"))
+    done = table(spark, d, "documents").select("doc_id", "text", X.normalise_terms(t, _RULES).alias("terms"))
     return done.select("doc_id", F.md5("terms.text").alias("text_md5"), F.array_join("terms.labels", ";").alias("rules"), X.year_in(t).alias("year"), X.has_place(t).alias("has_place"), X.stated(F.lit("License"), t).alias("stated"))
 
 
@@ -650,4 +655,4 @@ def name_repair(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-from . import stored, text_lines  # noqa: E402, F401  more queries, in the same registry
+from . import registers, small_rules, stored, text_lines, whole_graph  # noqa: E402, F401  more queries, in the same registry

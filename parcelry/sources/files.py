@@ -41,13 +41,13 @@ def read_with_header(spark: SparkSession, path: str, sep: str = ",", strip: bool
     return df.toDF(*[c.strip() for c in df.columns]) if strip else df
 
 
-def read_key_values(spark: SparkSession, path: str, key_at: int, value_at: int, least_fields: int = 14) -> DataFrame:
-    """(key, value, line_no) of pipe files with a header: lines with enough fields and both values. line_no is a struct in
-    the order of file name, block and line, for keep_last. Lines that equal the first header are no rows in any file."""
-    text = spark.read.text(path)
-    first = text.first()
+def read_key_values(spark: SparkSession, path: str | list[str], key_at: int, value_at: int, least_fields: int = 14) -> DataFrame:
+    """(key, value, line_no) of pipe files with a header, each its own: lines with enough fields and both values. line_no
+    is a struct in the order of file name, block and line, for keep_last. The reader of CSV leaves out the first line of
+    each file, whatever it says; a line is one field to it."""
+    text = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("enforceSchema", True).csv(path)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    rows = text.filter(F.col("value") != (first[0] if first else "")).select(place.alias("line_no"), F.split("value", r"\|", -1).alias("p"))
+    rows = text.select(place.alias("line_no"), F.split("value", r"\|", -1).alias("p"))
     body = rows.filter(F.size("p") >= least_fields)
     out = body.select(F.trim(F.col("p")[key_at]).alias("key"), F.trim(F.col("p")[value_at]).alias("value"), "line_no")
     return out.filter("key <> '' and value <> ''")

@@ -1,4 +1,5 @@
 import math
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -66,10 +67,17 @@ def test_risk_score_weights(spark):
 
 
 def test_text_rules(spark):
-    terms = X.normalise_terms(F.col("v"), [*X.TERM_RULES, *X.relative_years(2026)])
-    df = spark.createDataFrame([("a QCT with 60 % AMI this year",), (None,)], "v string")
-    rows = df.select(terms.alias("t")).select("t.text", "t.labels").collect()
-    assert rows[0][0] == "a Qualified Census Tract (QCT) with 50% AMI (program VLI, rent x1.2) year 2026" and rows[0][1] == ["60% AMI", "QCT", "this year"]
+    terms = X.normalise_terms(F.col("v"), X.term_rules(2026))
+    texts = ["a QCT with 60 % ami this year", "2BHK flat, Max rent last year $1", "nothing of the kind, eliminated", "SDDA or nmdda boost eligible, very low income", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", terms.alias("t")).select("v", "t.text", "t.labels").collect()
+    for text, got, fired in rows:
+        by_hand, labels = text, []
+        for pattern, replacement, label in X.term_rules(2026) if text else ():
+            changed = re.sub(pattern, replacement, by_hand)
+            labels += [label] * (changed != by_hand)
+            by_hand = changed
+        assert (got, fired) == (by_hand, labels)
+    assert "2 bedroom unit, maximum allowable gross rent (max_rent) year 2025 $1" in [r[1] for r in rows]
     assert column(spark, ["in 01001020700 of 2025", "none"], "string", X.tract_code) == ["01001020700", None]
     assert column(spark, ["ABC and XYZZ, ABC"], "string", lambda c: X.unknown_acronyms(c, ["XYZZ"])) == [["ABC"]]
 
