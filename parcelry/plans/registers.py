@@ -83,9 +83,9 @@ def bundle_of_year(spark: SparkSession, d: str) -> DataFrame:
     return vintages.of_year(_bundle(spark, d), "year", 1996)
 
 
-@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) IN (1996, 1998) THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, year(o_orderdate)::INTEGER AS year FROM orders WHERE year(o_orderdate) IN (SELECT 1995 + s_suppkey % 4 FROM supplier WHERE s_acctbal > 9000)")
+@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) IN (1996, 1998) THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, year(o_orderdate)::INTEGER AS year FROM orders WHERE year(o_orderdate) IN (SELECT 1995 + s_suppkey % 2 * 2 FROM supplier WHERE s_suppkey % 3 = 0)")
 def bundle_of_requested_years(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "supplier").filter("s_acctbal > 9000").select((1995 + F.col("s_suppkey") % 4).alias("asked"))
+    asked = table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select((1995 + F.col("s_suppkey") % 2 * 2).alias("asked"))
     return vintages.of_years(_bundle(spark, d), "year", asked, "asked")
 
 
