@@ -662,17 +662,23 @@ def test_mixed_rows(spark, corpus):
 # ---- 9 ----------------------------------------------------------------------------------------------------------
 
 
+TOLD = op9_licenses.telling(op9_licenses.PACK)
+
+
 def plain_licenses(text):
     """(n_hits, license, score, first word, words) by trying every template at every word."""
     w = re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).split()
     grams, hits = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)], []
     for p in range(len(grams)):
         found = []
-        for name, template in op9_licenses.TEMPLATES.items():
+        for name, template in op9_licenses.PACK.items():
             t = set(op9_licenses.bigrams_of(template))
             span = grams[p : p + len(op9_licenses.words_of(template)) - 1]
             if span[0] in t:
                 n = max(i for i, g in enumerate(span) if g in t) + 1
+                must, never = TOLD[name]
+                if set(must) - set(w[p : p + n + 1]) or set(never) & set(w[p : p + n + 1]):
+                    continue
                 found.append((-2 * len(t & set(span[:n])) / (len(set(span[:n])) + len(t)), -n, name, p, n + 1))
         if found and min(found)[0] <= -op9_licenses.DICE:
             hits.append(min(found))
@@ -711,6 +717,27 @@ def test_usual_license_lines_hit(spark):
     assert [(r["n_hits"], r["license"]) for r in got.orderBy("doc_id").collect()] == names * 2
 
 
+#: Notices that no template was written from, and the license that they name (none: one that isn't in the pack).
+NOTICES = (
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: Foo-1.0", None),
+    ("Images are under CC BY-NC-SA 4.0 unless noted", "CC-BY-NC-SA-4.0"), ("available under the Creative Commons Attribution-ShareAlike License 3.0", "CC-BY-SA-3.0"), ("You may copy it under the terms of the MIT license", "MIT"),
+    ("Distributed under the ISC License; see LICENSE", "ISC"), ("made available under the terms of the Eclipse Public License 2.0 which", "EPL-2.0"), ("Published under the Boost Software License, Version 1.0 in 2020", "BSL-1.0"), ("Placed under the Unlicense by its author", "Unlicense"),
+    ("you get this under the zlib license", "Zlib"), ("We offer all data under CC0", "CC0-1.0"), ("Free software under GPLv3", "GPL-3.0"), ("code under a BSD-style license", "BSD"), ("offered under the 2-clause BSD license", "BSD-2-Clause"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# any later version.", "GPL-2.0"),
+    ("Sources come under the Mozilla Public License 2.0", "MPL-2.0"), ("Fonts are under the SIL Open Font License, Version 1.1", "OFL-1.1"), ("granted under the GNU Affero General Public License v3.0", "AGPL-3.0"), ("licensed under the Apache License, Version 1.1", None),
+    ("under the terms of the Foo License", None), ("nothing new under the sun", None), ("licensed under the GNU General Public License, version 1", None), ("offered under Artistic License 1.0", None),
+)
+
+
+def test_licenses_are_named_rightly(spark):
+    got = {r["doc_id"]: r["license"] for r in op9_licenses.license_scan(frame(spark, [(i, f"Some words. {x}", "s") for i, (x, _) in enumerate(NOTICES)])).collect()}
+    named = [None if got[i] is None else op9_licenses.license_of(got[i]) for i in range(len(NOTICES))]
+    wrong = [(x, want, name) for (x, want), name in zip(NOTICES, named, strict=True) if name not in (None, want)]
+    assert wrong == []
+    assert sum(name == want for (_, want), name in zip(NOTICES, named, strict=True) if want) >= 0.9 * sum(want is not None for _, want in NOTICES)
+
+
 def test_license_lines_of_the_table(spark):
     """Every document of the given table with a line that names a license has a hit."""
     docs = common.read(spark, "/root/testdata/sf0.01", "documents")
