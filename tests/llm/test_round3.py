@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parcelry.llm import op11_shared_search, op12_spelling_variants, op13_warc_revisits
+from parcelry.llm import op2_secrets, op4_kd_shards, op5_toxicity, op11_shared_search, op12_spelling_variants, op13_warc_revisits
 from tests.llm.test_llm import DOCS, LOWER, frame
 
 ITEMS = "item_id long, text string, block string, plan string, term string, rank string, score string, doc_id string"
@@ -275,3 +275,71 @@ def test_foreign_archives(spark, tmp_path):
         list(op13_warc_revisits.records(info[:-10]))
     with pytest.raises(ValueError, match="no record"):
         list(op13_warc_revisits.records(b"hello\r\n"))
+
+
+# ---- registered queries of earlier operators, over a whole given table ------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+def given(spark, table, sf=SF):
+    return [r.asDict() for r in spark.read.parquet(f"{sf}/{table}.parquet").collect()]
+
+
+def test_secret_query_digests(spark):
+    """The query's base columns by the plain patterns; every span of it is inside its text and digests to the same."""
+    patterns = (
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    )
+    got = {r["doc_id"]: r for r in op2_secrets.op2_entropy_secrets(spark, SF.replace("0.001", "0.01")).collect()}
+    docs = given(spark, "documents", SF.replace("0.001", "0.01"))
+    assert len(got) == len(docs)
+    for d in docs:
+        spans = []
+        for k, (name, pattern, group, least) in enumerate(patterns):
+            # letters of the names in either case, but no other letter that folds to them
+            found = [m for m in re.finditer(pattern, d["text"] or "", re.ASCII if name == "assign" else 0) if len(m[group]) >= least]
+            spans += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in found]
+        r, base = got[d["doc_id"]], ",".join(s for _, _, s in sorted(spans))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        listed = [s.split(":") for s in r["spans"].split(",") if s]
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("entropy")] == [s for _, _, s in sorted(spans)]
+        assert all(0 <= int(a) < int(b) <= len(d["text"]) for _, a, b in listed)
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got.values()) > 0
+
+
+def test_shard_query_keeps_its_law(spark):
+    got, docs = op4_kd_shards.op4_kd_tree_shards(spark, SF).collect(), given(spark, "documents")
+    facts = lambda text: (len((text or "").encode()) + 1, zlib.crc32((text or "").encode()))
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((d["doc_id"], *facts(d["text"])) for d in docs)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
+    sizes, slots, shards = Counter(), {}, {}
+    texts = {d["doc_id"]: d["text"] for d in docs}
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        shards.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert sorted(sizes) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    largest = max(r["size"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= max(2 * largest, 0.1 * sum(sizes.values()) / 8)
+    assert max(len(s) for s in shards.values()) == 1
+
+
+def test_toxicity_query_against_a_plain_machine(spark):
+    """Scores of the query are those of the trained model applied text by text, whatever batch a text comes in, and don't
+    depend on ids or other columns."""
+    got = {r["doc_id"]: r for r in op5_toxicity.op5_subsequence_svm(spark, SF).collect()}
+    docs = given(spark, "documents")
+    assert len(got) == len(docs)
+    model = op5_toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    reader = op5_toxicity.Reader(model.kernel)
+    for d in docs:
+        r = got[d["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        assert abs(r["score"] - float(op5_toxicity._scores(model, pa.array([d["text"]], pa.string()), reader)[0])) < 1e-6
+    same = {}
+    for d in docs:
+        same.setdefault(d["text"], set()).add(round(got[d["doc_id"]]["score"], 9))
+    assert all(len(s) == 1 for s in same.values())
