@@ -250,7 +250,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3,
     z = np.hstack([x, np.ones((len(x), 1))])
     keep = np.append(np.full(x.shape[1], reg), 1e-6)
     weight = weight / weight.sum()
-    step = 1 / (2 * np.linalg.eigvalsh(z.T @ (z * weight[:, None]))[-1] + reg)
+    spread = sum(z[i : i + 10_000].T @ (z[i : i + 10_000] * weight[i : i + 10_000, None]) for i in range(0, len(z), 10_000))  # no second table of all rows
+    step = 1 / (2 * np.linalg.eigvalsh(spread)[-1] + reg)
     w, v = np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for k in range(steps):
         loss = np.maximum(0, 1 - y * (z @ v))
@@ -293,16 +294,18 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
         share = float(toxic.mean()) if len(toxic) else 0.0
         none = (np.zeros(int(good.sum())), 0.0)
         return Model(kernel, root, none, none, (0.0, 0.0, 4.0 if share >= 0.5 else -4.0))
-    owners, rows, means, reader = [], [], [], Reader(kernel)
+    owners, parts, nearest, means, reader = [], [], [], [], Reader(kernel)
     for i in range(0, len(texts), 200):
         some, found, mean = reader.read(texts[i : i + 200])
+        rows = np.array(found).reshape(len(found), len(kernel.landmarks))
         owners += [i + t for t in some]
-        rows += found
+        parts.append(rows @ root)
+        nearest.append(rows[:, : kernel.first].max(axis=1, initial=0.0))
         means.append(mean)
     owner = np.array(owners, np.int64)
-    x = np.array(rows).reshape(len(rows), len(kernel.landmarks)) @ root
+    x, score = np.concatenate([*parts, np.zeros((0, root.shape[1]))]), np.concatenate([*nearest, np.zeros(0)])
+    del parts, nearest, reader  # the words seen are many
     clean = toxic[owner] == 0 if len(owner) else np.zeros(0, bool)
-    score = np.array([r[: kernel.first].max() for r in rows])
     exact, like = score >= 0.9, score >= 0.5  # a toxic document without a sentence like any landmark teaches nothing
     nothing = np.zeros((1, x.shape[1]))
     for _ in range(rounds):
