@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .snapshots import fingerprint
+from ..functions.hashes import fingerprint
 
 LANES, DIGITS = 4, 15
 PARTS = tuple(f"lane_{i}" for i in range(LANES))

@@ -5,28 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashes import fast_hash, fingerprint  # noqa: F401  part of what snapshots offer
+from .content import content_hash_of, parts_of
 from .keep import keep_last
 
 
-def fingerprint(columns: Sequence[str]) -> Column:
-    """SHA-256 of the canonical JSON of the columns as strings, in the order of their names; null is the empty string."""
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(columns)]
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
-
-
-def fast_hash(columns: Sequence[str]) -> Column:
-    """64-bit hash as 16 hexadecimal digits."""
-    return F.lpad(F.lower(F.hex(F.xxhash64(*[F.col(c) for c in sorted(columns)]))), 16, "0")
-
-
 def content_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: n_rows and an order-free hash of all rows, from one partial aggregation."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(columns)])
-    whole = F.concat_ws(":", F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")))
-    return df.agg(F.count("*").alias("n_rows"), F.sha2(whole, 256).alias("content_hash"))
+    """One row: n_rows and the content hash of all rows (see content), from one partial aggregation."""
+    return parts_of(df, columns).select(F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), content_hash_of().alias("content_hash"))
 
 
 def schema_hash(df: DataFrame) -> str:

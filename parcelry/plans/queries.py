@@ -294,10 +294,24 @@ def snapshot_registry(spark: SparkSession, d: str) -> DataFrame:
     return collapse.year_coverage({"orders": (table(spark, d, "orders"), F.year("o_orderdate")), "lineitem": (table(spark, d, "lineitem"), F.year("l_shipdate"))})
 
 
-@query(None)
+def _registry_sql() -> str:
+    lanes = " || ".join(f"format('{{:015x}}', (sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT)" for i in range(4))
+    parts = []
+    for name, columns in _REGISTERED.items():
+        json = " || ',' || ".join(f"""'"{c}":"' || {c} || '"'""" for c in sorted(columns))
+        schema = f"sha256('{_COLUMNS[name]}')"
+        parts.append(f"SELECT '{name}' AS dataset, 'v1' AS version, '{name}.parquet' AS path, count(*) AS row_count, {schema} AS schema_hash, format('{{:016x}}', count(*)) || {lanes} AS content_hash, 'given' AS source_id FROM (SELECT sha256('{{' || {json} || '}}') AS h FROM {name})")
+    return " UNION ALL ".join(parts)
+
+
+_COLUMNS = {"part": "p_brand,p_name,p_partkey,p_retailprice,p_size,p_type", "supplier": "s_acctbal,s_name,s_nationkey,s_suppkey", "customer": "c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey"}
+_REGISTERED = {"part": ["p_partkey", "p_name", "p_size"], "supplier": ["s_suppkey", "s_name"], "customer": ["c_custkey", "c_name"]}
+
+
+@query(_registry_sql())
 def registry_rows(spark: SparkSession, d: str) -> DataFrame:
     out = None
-    for name, cols in {"part": ["p_partkey", "p_name", "p_size"], "supplier": ["s_suppkey", "s_name"], "customer": ["c_custkey", "c_name"]}.items():
+    for name, cols in _REGISTERED.items():
         one = snapshots.registry_row(table(spark, d, name), name, "v1", f"{name}.parquet", "given", cols)
         out = one if out is None else out.unionByName(one)
     return out
