@@ -55,9 +55,10 @@ class Seeds:
             bitmap[seed >> np.uint64(64 - _BITS)] = True
             self.tables.append((seed[order], item[order], place[order], bitmap))
 
-    def hits(self, h: np.ndarray, at: np.ndarray, share: float = 1.0) -> list[tuple[int, int, int, int, int]]:
+    def hits(self, h: np.ndarray, at: np.ndarray, share: float = 1.0, any_item: bool = False) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, agreeing words, words compared): the best overlap of each row and item. Where all of
-        an item of SPAN words or more meets the text, `share` of its words are enough, if these are under LEAST_WORDS."""
+        an item of SPAN words or more meets the text, `share` of its words are enough, if these are under LEAST_WORDS.
+        any_item: some overlap of each row that has one, and no more is looked for, however many items share its seeds."""
         rows, items, diagonals = [], [], []
         for (width, picks), (seed, item, place, bitmap) in zip(self.widths, self.tables, strict=True):
             own, own_at = tokens.windows(h, at, width, picks)
@@ -74,7 +75,10 @@ class Seeds:
         if not rows:
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        done = -1  # the last row with an overlap; rows come in order
         for r, i, d in np.unique(np.stack([np.concatenate(x) for x in (rows, items, diagonals)], axis=1), axis=0).tolist():
+            if any_item and r == done:
+                continue
             text, item = h[at[r] : at[r + 1]], self.words[i]
             a, b = max(0, -d), min(len(item), len(text) - d)
             same = item[a:b] == text[a + d : b + d]
@@ -82,6 +86,7 @@ class Seeds:
             got = overlap(same, min(LEAST_WORDS, math.ceil(whole * len(item) - 1e-9)))
             if got and got[0] > best.get((r, i), (0, 0, 0))[0]:
                 best[r, i] = (got[0], got[1], a + d + got[2])
+                done = r
         return [(r, i, start, m, n) for (r, i), (m, n, start) in best.items()]
 
 
@@ -162,7 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 keep = np.ones(b.num_rows, bool)
                 for i, j in tokens.slices(bounds):
                     h, own = tokens.word_hashes(data, bounds[i : j + 1])
-                    keep[[i + r for r, *_ in shared.value.hits(h, own, IDENTITY)]] = False
+                    keep[[i + r for r, *_ in shared.value.hits(h, own, IDENTITY, any_item=True)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

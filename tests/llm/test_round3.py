@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parcelry.llm import op2_secrets, op4_kd_shards, op5_toxicity, op11_shared_search, op12_spelling_variants, op13_warc_revisits
+from parcelry.llm import op2_secrets, op4_kd_shards, op5_toxicity, op10_decontaminate, op11_shared_search, op12_spelling_variants, op13_warc_revisits
 from tests.llm.test_llm import DOCS, LOWER, frame
 
 ITEMS = "item_id long, text string, block string, plan string, term string, rank string, score string, doc_id string"
@@ -343,3 +343,14 @@ def test_toxicity_query_against_a_plain_machine(spark):
     for d in docs:
         same.setdefault(d["text"], set()).add(round(got[d["doc_id"]]["score"], 9))
     assert all(len(s) == 1 for s in same.values())
+
+
+def test_one_overlap_is_enough_to_go():
+    """A sentence that many items share: a text that holds it is found once, not once for each of them."""
+    rng = random.Random(10)
+    shared = [rng.getrandbits(62) for _ in range(20)]
+    seeds = op10_decontaminate.Seeds([(i, shared + [rng.getrandbits(62) for _ in range(10)]) for i in range(300)])
+    texts = [[rng.getrandbits(62) for _ in range(30)] + (shared if k % 2 else []) for k in range(6)]
+    h, at = np.array([w for t in texts for w in t], np.int64).view(np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    every, some = seeds.hits(h, at, 0.7), seeds.hits(h, at, 0.7, any_item=True)
+    assert {r for r, *_ in every} == {r for r, *_ in some} == {1, 3, 5} and len(every) == 900 and len(some) == 3
