@@ -59,7 +59,7 @@ class Seeds:
         """(row, item, first word, agreeing words, words compared): the best overlap of each row and item. Where all of
         an item of SPAN words or more meets the text, `share` of its words are enough, if these are under LEAST_WORDS.
         any_item: some overlap of each row that has one, and no more is looked for, however many items share its seeds."""
-        rows, items, diagonals = [], [], []
+        met = []  # of each mask: text row, word, and the range of equal seeds
         for (width, picks), (seed, item, place, bitmap) in zip(self.widths, self.tables, strict=True):
             own, own_at = tokens.windows(h, at, width, picks)
             maybe = np.flatnonzero(bitmap[own >> np.uint64(64 - _BITS)])
@@ -67,17 +67,29 @@ class Seeds:
             n = np.searchsorted(seed, own[maybe], "right") - lo
             maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
             if len(maybe):
-                entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 row = np.searchsorted(own_at, maybe, "right") - 1
-                rows.append(np.repeat(row, n))
-                items.append(item[entry])
-                diagonals.append(np.repeat(maybe - own_at[row], n) - place[entry])
-        if not rows:
+                met.append((row, maybe - own_at[row], lo, n, item, place))
+        if not any_item:
+            return self._compared(h, at, share, met)
+        some = self._compared(h, at, share, [(row, word, lo, np.minimum(n, 1), item, place) for row, word, lo, n, item, place in met], once=True)
+        left = np.ones(len(at) - 1, bool)  # texts for which one item of each seed didn't do
+        left[[r for r, *_ in some]] = False
+        return some + self._compared(h, at, share, [(m[0][left[m[0]]], *(x[left[m[0]]] for x in m[1:4]), *m[4:]) for m in met], once=True)
+
+    def _compared(self, h: np.ndarray, at: np.ndarray, share: float, met: list[tuple], once: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """The overlaps around seeds that met; once: one of each row."""
+        rows, items, diagonals = [], [], []
+        for row, word, lo, n, item, place in met:
+            entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            rows.append(np.repeat(row, n))
+            items.append(item[entry])
+            diagonals.append(np.repeat(word, n) - place[entry])
+        if not sum(map(len, rows)):
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         done = -1  # the last row with an overlap; rows come in order
         for r, i, d in np.unique(np.stack([np.concatenate(x) for x in (rows, items, diagonals)], axis=1), axis=0).tolist():
-            if any_item and r == done:
+            if once and r == done:
                 continue
             text, item = h[at[r] : at[r + 1]], self.words[i]
             a, b = max(0, -d), min(len(item), len(text) - d)

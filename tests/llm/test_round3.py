@@ -354,3 +354,19 @@ def test_one_overlap_is_enough_to_go():
     h, at = np.array([w for t in texts for w in t], np.int64).view(np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     every, some = seeds.hits(h, at, 0.7), seeds.hits(h, at, 0.7, any_item=True)
     assert {r for r, *_ in every} == {r for r, *_ in some} == {1, 3, 5} and len(every) == 900 and len(some) == 3
+
+
+def test_any_overlap_loses_no_document():
+    rng = random.Random(20)
+    vocabulary = list(range(1, 40))
+    for _ in range(30):  # few words, so seeds meet many items, most of which don't overlap
+        items = [(i, rng.choices(vocabulary, k=rng.choice([4, 12, 20, 30]))) for i in range(40)]
+        texts = []
+        for _ in range(12):
+            own = list(rng.choice(items)[1])
+            own = [rng.choice(vocabulary) if rng.random() < rng.choice([0, 0.2, 0.4]) else w for w in own]
+            texts.append(rng.choices(vocabulary, k=rng.randrange(30)) + own[: rng.randrange(len(own) + 1)] + rng.choices(vocabulary, k=rng.randrange(30)))
+        seeds = op10_decontaminate.Seeds([(i, [w * 0x1234567 for w in x]) for i, x in items])
+        h, at = np.array([w * 0x1234567 for t in texts for w in t], np.int64).view(np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        every, some = seeds.hits(h, at, 0.7), seeds.hits(h, at, 0.7, any_item=True)
+        assert {r for r, *_ in every} == {r for r, *_ in some} and len(some) == len({r for r, *_ in some})
