@@ -23,10 +23,11 @@ def dimension(df: DataFrame, id_col: str, value_col: str, order: Sequence[str] =
     return keep_last(df.dropna(subset=[id_col, value_col]), [id_col], list(order) or [value_col]).select(id_col, value_col)
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: str, dim_id: str, value: str, most_bytes: int | None = None) -> DataFrame:
-    """Left join of a dimension. It is broadcast where Catalyst knows that it is small, or where the caller vouches for its size."""
+def lookup(df: DataFrame, dim: DataFrame, on: str, dim_id: str, value: str, most_rows: int | None = None) -> DataFrame:
+    """Left join of a dimension. It is broadcast where Catalyst knows that it is small, or where it is counted and found to
+    have at most most_rows rows; else it is joined by a shuffle."""
     side = dim.select(F.col(dim_id).alias("__id"), F.col(value))
-    if most_bytes is not None and most_bytes <= 64 << 20:
+    if most_rows is not None and side.limit(most_rows + 1).count() <= most_rows:
         side = F.broadcast(side)
     return df.join(side, F.col(on) == F.col("__id"), "left").drop("__id")
 

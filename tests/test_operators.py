@@ -80,6 +80,8 @@ def test_lookup_does_not_multiply(spark):
     out = risk.lookup(spark.createDataFrame([("a",), ("b",)], "x string"), dim, "x", "k", "v", 10)
     assert rows(out) == [("a", 2), ("b", None)]
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert "ResolvedHint (strategy=broadcast)" in out._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in risk.lookup(spark.createDataFrame([("a",)], "x string"), dim, "x", "k", "v", 0)._jdf.queryExecution().analyzed().toString()
 
 
 def test_roll_up(spark):
