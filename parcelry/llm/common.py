@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +148,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return nodes.join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, a function for mapInArrow, that hands freed memory back to the system when a partition is done: Python
+    workers are kept for later tasks, and what each holds on to adds up over the stages of a job."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def blocks(rows: int, per_block: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_block))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import blocks, read
+from .common import blocks, frugal, read
 
 # Fixed masks: positions of a window that are hashed.
 MASKS = (
@@ -162,7 +162,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                         ids = [b.column(0).take(pa.array([i + r for r, *_ in got])), pa.array([own.ids[k] for _, k, *_ in got])]
                         yield pa.RecordBatch.from_arrays([*ids, *(pa.array([g[c] for g in got], pa.int64()) for c in (2, 3, 4))], ["doc_id", "item_id", "first_word", "matched", "compared"])
 
-        part = rows.mapInArrow(find, schema)
+        part = rows.mapInArrow(frugal(find), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -182,7 +182,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     keep[[i + r for r, *_ in shared.value.hits(h, own, IDENTITY, any_item=True)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(frugal(clean), docs.schema)
     return docs
 
 

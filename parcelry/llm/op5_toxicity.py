@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import frugal, read
 
 LENGTH, GAP, DECAY = 4, 3, 0.7
 LANDMARKS, TRAIN_ROWS, TRAIN_CHARS = 96, 4000, 20_000
@@ -375,7 +375,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(_scores(shared.value, b.column(1), reader))], ["doc_id", "held_out", "score"])
 
-    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    return rows.mapInArrow(frugal(score), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -387,7 +387,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for b in batches:
             yield b.filter(pa.array(_scores(shared.value, b.column(at), reader) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
 
 
 def op5_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
