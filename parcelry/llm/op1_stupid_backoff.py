@@ -23,7 +23,7 @@ from .common import blocks, read, shuffle_partitions
 
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a batch of documents, and n-grams that one partition of the count tables receives, about.
-BATCH_BYTES, PARTITION_GRAMS = 6 << 20, 1 << 20
+BATCH_BYTES, PARTITION_GRAMS = 8 << 20, 1 << 20
 
 
 def grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
