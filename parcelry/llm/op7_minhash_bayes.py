@@ -272,11 +272,13 @@ def _components(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
     columns = ["low", "x", F.lit(-1).cast("long").alias("y"), "nid", "part", "mask", F.col("nid").alias("root"), "sig", "n"]
     first = _verified(others.select(*columns).unionByName(least.select(*columns)), reps, docs)
     roots = cut(connected_components(first))
-    # groups of several components
+    # groups of several components; a pair alone in its group is done only if the group was the first of its greater class
     known = classes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    known = cut(known.withColumn("g", F.explode("in")).select("g.low", "g.mask", "nid", "root", "sig", "n"))
-    sizes = known.groupBy("low", "root").agg(F.count("*").alias("of_root"))
-    spread = sizes.groupBy("low").agg(F.count("*").alias("roots"), F.sum("of_root").alias("size"), F.sum(F.when(F.col("of_root") <= PART, F.col("of_root")).otherwise(0)).alias("pooled")).filter("roots > 1 and size > 2")
+    known = known.withColumn("g", F.explode("in")).withColumn("open", ~F.col("g.low").isin(F.col("nid"), F.col("first.low")))
+    known = cut(known.select("g.low", "g.mask", "nid", "root", "sig", "n", "open"))
+    sizes = known.groupBy("low", "root").agg(F.count("*").alias("of_root"), F.bool_or("open").alias("open"))
+    spread = sizes.groupBy("low").agg(F.count("*").alias("roots"), F.sum("of_root").alias("size"), F.sum(F.when(F.col("of_root") <= PART, F.col("of_root")).otherwise(0)).alias("pooled"), F.bool_or("open").alias("open"))
+    spread = spread.filter("roots > 1 and (size > 2 or open)").drop("open")
     spread = cut(spread.withColumn("pool", parts("pooled")))
     if spread.isEmpty():
         return roots
@@ -285,7 +287,7 @@ def _components(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
     before = F.coalesce(F.sum("own").over(Window.partitionBy("low").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     large = cut(large.select("low", "root", "own", (F.col("pool") + before).alias("start")))
     ends = cut(spread.join(large.groupBy("low").agg(F.sum("own").alias("large")), "low", "left").select("low", "size", "pool", (F.col("pool") + F.coalesce("large", F.lit(0))).alias("parts")))
-    rest = lookup(known, ends, ["low"], "size", "inner")
+    rest = lookup(known.drop("open"), ends, ["low"], "size", "inner")
     rest = rest.join(F.broadcast(large) if large.count() <= 100_000 else large, ["low", "root"], "left")
     rest = rest.withColumn("part", F.when(F.col("own").isNull(), part("pool")).otherwise(F.col("start") + part("own")))
     meets = F.filter(upto("parts"), lambda i: F.col("own").isNull() | (i < F.col("start")) | (i >= F.col("start") + F.col("own")))
