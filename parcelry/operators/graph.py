@@ -69,10 +69,26 @@ def _key(columns: Sequence[str]) -> Column:
     return F.when(there, F.array(*texts))
 
 
+#: Parts that the sources of a key other than the target's id are dealt to: such a key may join many sources to many targets.
+SALTS = 16
+
+
+def _with_all_keys(rows: DataFrame, name: str, may_be_several: bool) -> DataFrame:
+    """Adds `name`, all keys of the row's node, where it has several. A target found by its id has this one only."""
+    none = F.lit(None).cast("array<array<string>>")
+    if not may_be_several:
+        return rows.withColumn(name, none)
+    keyed = rows.groupBy(*[c for c in rows.columns if c != "key"]).agg(F.collect_set("key").alias("keys"))
+    return keyed.select("*", F.explode("keys").alias("key"), F.when(F.size("keys") > 1, F.col("keys")).alias(name)).select(*rows.columns, name)
+
+
 def all_edges(tables: Mapping[str, DataFrame], patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
     """The edges of all patterns, by one join: each table is read once for what leaves it, as rows of tagged foreign keys,
     and once for what reaches it. tables: by label, with the column id, and those that patterns go via. Edges that repeat
-    are one; those to nodes that aren't there, or via a source that isn't, are none."""
+    are one; those to nodes that aren't there, or via a source that isn't, are none.
+
+    Rows are made distinct before the join and not after it, as the join may give many more than it is given; a node with
+    several keys carries them all, and so each of its edges is kept once."""
     leaving = reaching = None
     for name in dict.fromkeys(p.via or p.src for p in patterns):
         own, df = [p for p in patterns if (p.via or p.src) == name], tables[name]
@@ -81,13 +97,26 @@ def all_edges(tables: Mapping[str, DataFrame], patterns: Sequence[Pattern] = PAT
                 df = df.join(tables[p.src].select(F.col("id").alias("__id")).distinct(), F.col(p.src_id).cast("string") == F.col("__id").cast("string"), "left_semi")
         each = F.array(*[F.struct(F.lit(p.src).alias("src_label"), F.col(p.src_id).cast("string").alias("src_id"), F.lit(p.rel).alias("rel_type"), F.lit(p.dst).alias("dst_label"), F.lit(" ".join(p.match)).alias("by"), _key(p.foreign).alias("key")) for p in own])
         rows = df.select(F.explode(F.filter(each, lambda e: e["key"].isNotNull() & e["src_id"].isNotNull())).alias("e")).select("e.*")
+        rows = _with_all_keys(rows, "src_keys", any(p.match != ("id",) for p in own)).withColumn("salt", F.when(F.col("by") == "id", 0).otherwise(F.pmod(F.xxhash64("src_id"), F.lit(SALTS)).cast("int")))
         leaving = rows if leaving is None else leaving.unionByName(rows)
     for label in dict.fromkeys(p.dst for p in patterns):
         matches = dict.fromkeys(p.match for p in patterns if p.dst == label)
         each = F.array(*[F.struct(F.lit(label).alias("dst_label"), F.lit(" ".join(m)).alias("by"), _key(m).alias("key"), F.col("id").cast("string").alias("dst_id")) for m in matches])
         rows = tables[label].select(F.explode(F.filter(each, lambda e: e["key"].isNotNull() & e["dst_id"].isNotNull())).alias("e")).select("e.*")
+        rows = _with_all_keys(rows, "dst_keys", any(m != ("id",) for m in matches))
+        if any(m != ("id",) for m in matches):
+            rows = rows.withColumn("salt", F.explode(F.when(F.col("by") == "id", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        else:
+            rows = rows.withColumn("salt", F.lit(0))
         reaching = rows if reaching is None else reaching.unionByName(rows)
-    return leaving.join(reaching.distinct(), ["dst_label", "by", "key"]).select(*EDGE).distinct()
+    on = ["dst_label", "by", "key", "salt"]
+    n = int(leaving.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = leaving.repartition(n, *on).distinct().join(reaching.repartition(n, *on).distinct(), on)
+    # a source and a target that share several keys meet at the least of them
+    shared = F.col("src_keys").isNull() | F.col("dst_keys").isNull() | (F.col("key") == F.array_min(F.array_intersect("src_keys", "dst_keys")))
+    found = joined.filter(shared).select(*EDGE)
+    # patterns of one name that match by different columns may give an edge each
+    return found if len({(p.src, p.rel, p.dst, p.match) for p in patterns}) == len({(p.src, p.rel, p.dst) for p in patterns}) else found.distinct()
 
 
 def all_nodes(tables: Mapping[str, DataFrame], labels: Sequence[str], order: Mapping[str, Sequence[str]] | None = None, excluded: Mapping[str, Sequence[str]] = EXCLUDED) -> DataFrame:
@@ -125,10 +154,16 @@ def edges(fact: DataFrame, src_label: str, src_id: str, rel: str, dst_label: str
 
 def through_crosswalk(counties: DataFrame, county: str, crosswalk: DataFrame, limits: DataFrame, limit_id: str, code: str = "hud_area_code", year: str = "year") -> DataFrame:
     """County to limit edges (many to many): counties meet limits of their area code in the same year."""
-    c = crosswalk.select("county_fips", F.col(code).alias("__code"), F.col(year).alias("__year")).distinct()
-    to = limits.select(F.col(limit_id).alias("dst"), F.col(code).alias("__c"), F.col(year).alias("__y"))
-    joined = counties.select(F.col(county).alias("__county")).distinct().join(c, F.col("__county") == F.col("county_fips")).join(to, (F.col("__code") == F.col("__c")) & (F.col("__year") == F.col("__y")))
-    return joined.select(F.lit("County").alias("src_label"), F.col("__county").cast("string").alias("src_id"), F.lit("HAS_MSA_AMI").alias("rel_type"), F.lit("Section8AMILimit").alias("dst_label"), F.col("dst").cast("string").alias("dst_id")).distinct()
+    kinds = [crosswalk.schema[c].dataType for c in (code, year)]
+    # keys as in all_edges: distinct rows before the join, none made distinct after it
+    key = lambda *columns: F.when(F.col(columns[0]).isNotNull() & F.col(columns[1]).isNotNull(), F.array(*[F.col(c).cast(k).cast("string") for c, k in zip(columns, kinds, strict=True)])).alias("key")
+    leaving = counties.select(F.col(county).alias("__county")).distinct().join(crosswalk.select("county_fips", key(code, year)), F.col("__county") == F.col("county_fips")).filter("key is not null")
+    leaving = _with_all_keys(leaving.select(F.col("__county").cast("string").alias("src_id"), "key"), "src_keys", True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    reaching = _with_all_keys(limits.select(F.col(limit_id).cast("string").alias("dst_id"), key(code, year)).filter("key is not null"), "dst_keys", True).withColumn("salt", F.pmod(F.xxhash64("dst_id"), F.lit(SALTS)).cast("int"))
+    n = int(limits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = reaching.repartition(n, "key", "salt").join(leaving, ["key", "salt"])
+    one = F.col("src_keys").isNull() | F.col("dst_keys").isNull() | (F.col("key") == F.array_min(F.array_intersect("src_keys", "dst_keys")))
+    return joined.filter(one).select(F.lit("County").alias("src_label"), "src_id", F.lit("HAS_MSA_AMI").alias("rel_type"), F.lit("Section8AMILimit").alias("dst_label"), "dst_id")
 
 
 def first_metro(areas: DataFrame, code: str, metro: str, order: Sequence[str]) -> DataFrame:

@@ -396,8 +396,8 @@ def crosswalk_edges(spark: SparkSession, d: str) -> DataFrame:
     many = graph.through_crosswalk(nation.select(F.col("n_nationkey").cast("string").alias("c")), "c", xw, limits, "limit_id")
     state_limits = p.select("p_partkey", (F.col("p_size") % 5).alias("state"), (1995 + F.col("p_partkey") % 3).cast("int").alias("year"))
     counties = nation.filter("n_regionkey = 4").select("n_nationkey", F.col("n_regionkey").alias("state"), F.lit(1996).alias("year"))
-    fallback = tools.required(counties, state_limits, ["state", "year"], ["p_partkey"])
-    return many.unionByName(fallback.select(F.lit("County").alias("src_label"), F.col("n_nationkey").cast("string").alias("src_id"), F.lit("HAS_STATE_AMI").alias("rel_type"), F.lit("StateAMILimit").alias("dst_label"), F.col("p_partkey").cast("string").alias("dst_id")).distinct())
+    fallback = tools.required(counties.distinct(), state_limits.distinct(), ["state", "year"], ["p_partkey"])  # all counties have one state and year
+    return many.unionByName(fallback.select(F.lit("County").alias("src_label"), F.col("n_nationkey").cast("string").alias("src_id"), F.lit("HAS_STATE_AMI").alias("rel_type"), F.lit("StateAMILimit").alias("dst_label"), F.col("p_partkey").cast("string").alias("dst_id")))
 
 
 @query("""WITH f AS (SELECT 'A' || s_suppkey % 7 AS code, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS metro, s_suppkey FROM supplier), m AS (SELECT code, metro FROM f WHERE metro IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY s_suppkey) = 1)
