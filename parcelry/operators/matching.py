@@ -58,6 +58,18 @@ def find_names(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return found.unionByName(short)
 
 
+def count_places(requests: DataFrame, places: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(request_id, query, n, first_code, last_name): of the requests without a state that have a place, the number of the
+    places that resolve_places finds, the least code and the last name. Names are counted for each distinct text before the
+    requests meet them, so that requests times places never become rows."""
+    asked = requests.filter("state is null").select("request_id", "query", F.lower("query").alias("__query"))
+    per_name = places.filter("place_name is not null").groupBy(F.lower("place_name").alias("__name")).agg(F.count("*").alias("n"), F.min("place_code").alias("first_code"), F.max("place_name").alias("last_name"))
+    names = find_names(asked.select(F.col("__query").alias("query")).filter("query is not null").distinct(), name_postings(places, "place_name") if postings is None else postings)
+    by_text = names.join(per_name, F.col("name") == F.col("__name")).groupBy(F.col("query").alias("__q")).agg(F.sum("n").alias("n"), F.min("first_code").alias("first_code"), F.max("last_name").alias("last_name"))
+    each = asked.join(by_text, F.col("__query") == F.col("__q"))
+    return each.groupBy("request_id", "query").agg(F.sum("n").alias("n"), F.min("first_code").alias("first_code"), F.max("last_name").alias("last_name"))
+
+
 def resolve_places(requests: DataFrame, places: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """All places (state, state_name, place_code, place_name) whose name contains a request's (request_id, query, state)
     in any case, with match_count. The state, an abbreviation or a full name, is an equality, so requests with a
