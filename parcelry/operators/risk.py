@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..functions.codes import key
 from ..functions.coerce import number
+from ..sources.places import kept
 from .buckets import BucketedTable
 from .keep import keep_best, keep_last
 
@@ -115,7 +116,7 @@ def card_state(spark: SparkSession, path: str, keys: Sequence[str] = KEYS, n_buc
 def add_applications(state: BucketedTable, increment: DataFrame, batch: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds an increment to the state and returns the cards that it may have changed, those of the buckets that it is in.
     The last batch is not added again."""
-    counts = partial_counts(increment, keys)
+    counts = kept(partial_counts(increment, keys))  # written once: its buckets are asked for before and after they are added
     state.add(counts, COUNTERS, batch)
     return card_of(state.near(counts), keys)
 

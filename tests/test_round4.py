@@ -1,10 +1,8 @@
 """Edges without a distinct after the join, and what else larger tables asked for."""
 
-import re
-
 from pyspark.sql import functions as F
 
-from parcelry.operators import graph
+from parcelry.operators import graph, matching, risk
 
 
 def rows(df):
@@ -50,3 +48,33 @@ def test_crosswalk_edges_are_one_without_a_distinct_after_the_join(spark):
     found = graph.through_crosswalk(counties, "id", crosswalk, limits.filter("id is not null"), "id")
     assert rows(found) == want
     assert "Aggregate" not in above_join(found)
+
+
+def test_places_are_counted_by_text_before_requests_meet_them(spark):
+    places = spark.createDataFrame([("AL", "Alabama", "1", "Clay County"), ("GA", "Georgia", "2", "clay county"), ("GA", "Georgia", "3", "Clayton County"), ("GA", "Georgia", "4", None)], "state string, state_name string, place_code string, place_name string")
+    asked = spark.createDataFrame([(1, "clay", "georgia"), (2, "CLAY C", None), (3, "", None), (4, None, None), (5, "clay", None), (6, "nowhere", None), (7, "Clay", None), (7, "Clay", None)], "request_id int, query string, state string")
+    found = matching.count_places(asked, places)
+    rowwise = matching.resolve_places(asked.filter("state is null"), places).groupBy("request_id", "query").agg(F.count("*").alias("n"), F.min("place_code").alias("first_code"), F.max("place_name").alias("last_name"))
+    assert rows(found) == rows(rowwise)
+    # 2,000 requests of one text and 500 places: what requests are joined with has a row a text
+    many = spark.createDataFrame([(k, "#", None) for k in range(2000)], "request_id int, query string, state string")
+    all_places = spark.createDataFrame([("s", "s", str(k), f"c#{k}") for k in range(500)], "state string, state_name string, place_code string, place_name string")
+    counted = matching.count_places(many, all_places)
+    assert counted.agg(F.count("*"), F.sum("n")).first() == (2000, 1_000_000)
+    assert "Aggregate [query" in ran(counted).split("Join ")[1]
+
+
+def test_an_increment_is_computed_once(spark, tmp_path):
+    """Its counts are written before their buckets are asked for."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        read.add(1)
+        return ("3", f"L{k % 3}", "100", "1", "5", "2", False, "4", f"{k % 5:05d}", 2020)
+
+    columns = "action string, lender_id string, amount string, purchaser string, race string, ethnicity string, multifamily boolean, denial_reason string, county_fips string, assessment_year int"
+    apps = spark.createDataFrame(spark.sparkContext.parallelize(range(100), 2).map(seen), columns)
+    state = risk.card_state(spark, str(tmp_path / "state"), n_buckets=4)
+    card = risk.add_applications(state, apps, "a")
+    assert sum(r["total_applications"] for r in card.collect()) == 100
+    assert read.value == 100
