@@ -103,7 +103,7 @@ class BucketedTable:
         if batch is not None and entries and entries[0]["batch"] == batch:
             return self.read()
         n = entries[0]["n_buckets"] if entries else self.n or max(1, -(-new.count() // BUCKET_ROWS))
-        touched = self._touched(new, n)
+        touched = self._touched(new, n) if entries else set()  # the first rows are all written
         if entries and not set(new.columns) <= set(self._rows(entries).columns):
             touched = set(range(n))  # a new column is part of every row, and of its hash
         if entries and not touched:

@@ -24,14 +24,21 @@ def _modulo(total: Column) -> Column:
 
 
 def _lane(fingerprint_col: Column, i: int) -> Column:
-    return F.conv(F.substring(fingerprint_col, 1 + i * DIGITS, DIGITS), 16, 10).cast("decimal(38,0)")
+    return F.conv(F.substring(fingerprint_col, 1 + i * DIGITS, DIGITS), 16, 10).cast("long")
+
+
+def _sum_of(lane: Column, sign: Column | None) -> Column:
+    """The sum of lanes modulo 2^60. Rows add up thirds of 20 bits as longs, which hold those of 2^43 rows; decimals come after."""
+    thirds = [F.shiftright(lane, 20 * k).bitwiseAND((1 << 20) - 1) for k in range(3)]
+    sums = [F.sum(t if sign is None else sign.cast("long") * t).cast("decimal(20,0)") for t in thirds]
+    return _modulo(sums[0] + _modulo(sums[1] * F.lit(1 << 20).cast("decimal(8,0)")) + _modulo(sums[2] * F.lit(1 << 40).cast("decimal(13,0)")))
 
 
 def hash_parts(columns: Sequence[str], sign: Column | None = None) -> dict[str, Column]:
     """Aggregates n_rows and one sum a lane. sign: 1 for rows that came, -1 for rows that went."""
     one = F.lit(1) if sign is None else sign
     whole = fingerprint(columns)
-    return {"n_rows": F.sum(one.cast("long"))} | {name: _modulo(F.sum(one.cast("decimal(1,0)") * _lane(whole, i))) for i, name in enumerate(PARTS)}
+    return {"n_rows": F.sum(one.cast("long"))} | {name: _sum_of(_lane(whole, i), sign) for i, name in enumerate(PARTS)}
 
 
 def parts_of(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), sign: Column | None = None) -> DataFrame:

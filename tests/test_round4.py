@@ -1,8 +1,11 @@
 """Edges without a distinct after the join, and what else larger tables asked for."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from parcelry.operators import checks, graph, matching, risk
+from parcelry.operators import checks, content, graph, matching, risk
+from parcelry.operators.buckets import BucketedTable
 from parcelry.plans import registers as plans
 from parcelry.sources import registers
 
@@ -97,3 +100,24 @@ def test_register_lines_are_written_without_arrays_of_fields(spark):
         line = spark.range(2, 3).select(plans._joined(values, layout).alias("t"))
         plain = "|".join({"activity_year": "2019", "lei": "L", "action_taken": "2"}.get(c, "") for c in layout)
         assert line.first()["t"] == plain
+
+
+def test_first_rows_of_a_bucketed_table_are_computed_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        read.add(1)
+        return (k, str(k))
+
+    made = spark.createDataFrame(spark.sparkContext.parallelize(range(100), 2).map(seen), "k long, v string")
+    assert BucketedTable(spark, str(tmp_path / "t"), ["k"], 4).upsert(made).count() == 100
+    assert read.value == 100
+
+
+def test_hashes_add_up_without_decimals_a_row(spark):
+    parts = content.parts_of(spark.range(1000).select("id", (F.col("id") % 3).alias("p")), ["id"], ["p"])
+    lanes = [[int(h[15 * i : 15 * i + 15], 16) for h in (hashlib.sha256(f'{{"id":"{k}"}}'.encode()).hexdigest() for k in range(1, 1000, 3))] for i in range(4)]
+    assert [int(parts.filter("p = 1").first()[c]) for c in content.PARTS] == [sum(x) % (1 << 60) for x in lanes]
+    gone = content.merged(parts.unionByName(content.parts_of(spark.range(1, 1000, 3).withColumn("p", F.lit(1).cast("long")), ["id"], ["p"], F.lit(-1))), ["p"])
+    assert [int(gone.filter("p = 1").first()[c]) for c in ("n_rows", *content.PARTS)] == [0] * 5
+    assert "decimal(38,0)) *" not in ran(parts)
